@@ -25,9 +25,12 @@ from proofline.llm.common import small_batches
 from proofline.llm.tokens import slices
 
 DEEPEST = 150
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*)>|[^<]+|<""", re.S)
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_TORN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+#: After so many tags with torn quotes a page's quotes are no longer trusted.
+_TORN_TAGS = 20
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|style\s*=\s*["']?[^"'>]*(?:display\s*:\s*none|visibility\s*:\s*hidden)|type\s*=\s*["']?hidden""", re.I)
-_ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""(?<![^\s=/"'])([^\s=/"']++)\s*+=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style template noscript title meta link base iframe object svg math datalist audio video canvas".split())
@@ -64,16 +67,34 @@ class Node:
 def parse(html: str) -> Node:
     """The tree of a page; text nodes are strings."""
     root = Node("#root")
-    stack, at, end = [root], 0, len(html)
+    stack, at, end, last, torn = [root], 0, len(html), html.rfind(">"), 0
     while at < end:
-        m = _TOKEN.match(html, at)
+        start = html.find("<", at)
+        if start > last:  # no tag ends any more, but a comment may begin
+            start = html.find("<!--", start)
+        start = start if start >= 0 else end
+        if start > at:
+            text = html[at:start]
+            stack[-1].children.append(unescape(text) if "&" in text else text)
+            at = start
+            continue
+        if html.startswith("<!--", at):
+            at = html.find("-->", at + 4) + 3
+            at = at if at > 2 else end
+            continue
+        if html[at + 1] in "!?":
+            at = html.find(">", at) + 1
+            continue
+        m = _TAG.match(html, at) if torn < _TORN_TAGS else None
+        if m is None:
+            m = _TORN_TAG.match(html, at)
+            torn += m is not None
+        if m is None:
+            stack[-1].children.append("<")
+            at += 1
+            continue
         at = m.end()
         name = m[2]
-        if name is None:
-            token = m[0]
-            if not token.startswith(("<!", "<?")):
-                stack[-1].children.append(unescape(token) if "&" in token else token)
-            continue
         tag = name.lower()
         if m[1]:
             _close(stack, {tag}, _BOUNDS - {tag} if tag not in ("table", "td", "th", "tr", "tbody", "thead", "tfoot") else {"table"} - {tag})

@@ -74,7 +74,7 @@ def sketches(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
     """A key for each band; bands differ in their keys."""
-    bands = sketch.reshape(len(sketch), -1, PER_BAND)
+    bands = sketch.reshape(len(sketch), COORDINATES // PER_BAND, PER_BAND)
     key = np.arange(1, bands.shape[1] + 1, dtype=np.uint64)[None, :] * np.uint64(0xA0761D6478BD642F)
     for k in range(PER_BAND):
         key = mix(key ^ bands[:, :, k])
@@ -83,7 +83,7 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 
 def two_bits(sketch: np.ndarray) -> np.ndarray:
     """Two bits of each coordinate, in four numbers."""
-    low = (mix(sketch) & np.uint64(3)).reshape(len(sketch), -1, 32)
+    low = (mix(sketch) & np.uint64(3)).reshape(len(sketch), COORDINATES // 32, 32)
     return np.bitwise_or.reduce(low << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=2).view(np.int64)
 
 

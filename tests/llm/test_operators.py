@@ -519,6 +519,7 @@ def test_html_odd(spark):
     found = html_text.extract_text(pages)
     assert found.columns == ["page_id", "url", "html", "text"]
     got = {r["page_id"]: r["text"] for r in found.collect()}
+    assert got[4] == unclosed and got[7] == "a" * 2_000_000
     assert got[1] is None and got[2] == "" and got[3] == "x" and got[None] == "a" and "x" in got[5]
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
