@@ -30,10 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder; later uses read those files.
 
-    The files survive lost executors and go when Spark collects the frame.
+    The files survive lost executors and go when Spark collects the frame. A
+    checkpoint also hands on what the optimizer has inferred so far, which in
+    iterations grows without bound; the frame returned starts afresh.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    session = df.sparkSession
+    shared_dir(session)
+    held = df.checkpoint()._jdf
+    fresh = session._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False)
+    return DataFrame(fresh, session)
 
 
 def small_batches(spark: SparkSession) -> None:

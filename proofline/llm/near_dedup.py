@@ -11,10 +11,13 @@ No bucket is expanded into its pairs:
 
 1. Documents of equal sets form a class and are represented by one of them.
 2. Each member of a bucket is compared with a few pivots of the bucket and its
-   best candidate is confirmed; twice. Most groups are then one component.
-3. What a bucket still holds outside its largest component is compared with all
-   its members, in blocks of bounded size; candidates of different components
-   whose sketches agree enough are confirmed.
+   best candidate is confirmed.
+3. What a bucket then holds outside its largest component is compared with all
+   its members, in blocks of bounded size. The best candidates of each outsider
+   are confirmed, and most groups are then one component.
+4. Members that still have candidates of another component are gathered, by the
+   buckets they share, into clusters. In each cluster outsiders are held against
+   all members by their full sets, in blocks; only links come out of a block.
 
 Links between documents of one component need no proof, so the work stays near
 the number of documents. Buckets have no cap. With 32 bands of 4 coordinates a
@@ -46,8 +49,13 @@ PER_BAND = 4
 #: Of 128 coordinates' two bits; at a similarity of 0.75, 104 agree on average, with a deviation of 4.4.
 AGREE = 82
 PIVOTS = 4
+#: Candidates of an outsider, in each block, that are tried before all others.
+BEST = 3
 OUT_BLOCK = 2048
 ALL_BLOCK = 8192
+#: The same for blocks of full sets.
+OUT_SETS = 512
+ALL_SETS = 2048
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _NONE = np.uint64(2**64 - 1)
 _PAIRS = np.uint64(0x5555555555555555)
@@ -117,20 +125,15 @@ def _agreement(prefix: str) -> Column:
     return F.lit(COORDINATES) - apart
 
 
-def _by_pivots(members: DataFrame, labels: DataFrame | None, salt: int) -> DataFrame:
+def _by_pivots(members: DataFrame) -> DataFrame:
     """(a, b): each member's best candidate among its buckets' pivots."""
-    if labels is None:
-        members = members.withColumn("component", F.col("id"))
-    else:
-        members = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sides = ["id", "component", "s0", "s1", "s2", "s3"]
-    draws = [F.min(F.struct(F.xxhash64("id", F.lit(salt * PIVOTS + j)).alias("h"), *sides)).alias(f"p{j}") for j in range(PIVOTS)]
-    pivots = members.groupBy("key").agg(*draws, F.min("component").alias("_c0"), F.max("component").alias("_c1")).filter("_c0 <> _c1").drop("_c0", "_c1")
-    rows = members.join(pivots, "key")
+    sides = ["id", "s0", "s1", "s2", "s3"]
+    draws = [F.min(F.struct(F.xxhash64("id", F.lit(j)).alias("h"), *sides)).alias(f"p{j}") for j in range(PIVOTS)]
+    rows = members.join(members.groupBy("key").agg(*draws), "key")
     choices = []
     for j in range(PIVOTS):
         near = _agreement(f"p{j}.")
-        fits = (F.col(f"p{j}.component") != F.col("component")) & (near >= AGREE)
+        fits = (F.col(f"p{j}.id") != F.col("id")) & (near >= AGREE)
         choices.append(F.when(fits, F.struct(near.alias("n"), (-F.col(f"p{j}.id")).alias("p"))))
     best = rows.select("id", F.array_max(F.array(*choices)).alias("best")).filter("best is not null").groupBy("id").agg(F.max("best").alias("best"))
     return best.select(F.least("id", -F.col("best.p")).alias("a"), F.greatest("id", -F.col("best.p")).alias("b")).distinct()
@@ -139,8 +142,12 @@ def _by_pivots(members: DataFrame, labels: DataFrame | None, salt: int) -> DataF
 _BLOCK = "key long, q int, m int, out boolean, id long, component long, s0 long, s1 long, s2 long, s3 long"
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (key, q, m): each such group is compared, outsiders with all."""
+def _compare(batches: Iterator[pa.RecordBatch], best: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (key, q, m): each such group is compared, outsiders with all.
+
+    ``best``: gives so many candidates of each outsider. None: gives each member
+    that has a candidate, with one of them for all.
+    """
     held: list[np.ndarray] = []
 
     def pairs(x: np.ndarray) -> list[np.ndarray]:
@@ -153,8 +160,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in range(4):
                 d = own[:, 6 + w, None].view(np.uint64) ^ bits[None, :, w]
                 apart += np.bitwise_count((d | (d >> np.uint64(1))) & _PAIRS)
-            i, j = np.nonzero((apart <= COORDINATES - AGREE) & (own[:, 5, None] != rest[None, :, 5]))
-            if len(i):
+            apart[own[:, 5, None] == rest[None, :, 5]] = COORDINATES + 1
+            if best is not None and len(rest) > best:
+                j = np.argpartition(apart, best, axis=1)[:, :best]
+                i = np.repeat(np.arange(len(own)), best)
+                i, j = (k[apart[i, j.ravel()] <= COORDINATES - AGREE] for k in (i, j.ravel()))
+            else:
+                i, j = np.nonzero(apart <= COORDINATES - AGREE)
+            if len(i) and best is None:
+                involved = np.unique(np.concatenate((own[i, 4], rest[j, 4])))
+                found.append(np.stack((np.full(len(involved), involved[0]), involved), 1))
+            elif len(i):
                 found.append(np.stack((np.minimum(own[i, 4], rest[j, 4]), np.maximum(own[i, 4], rest[j, 4])), 1))
         return found
 
@@ -176,23 +192,82 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(found)
 
 
-def _by_blocks(members: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
-    """(a, b): all candidates of different components that share a bucket."""
-    members = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    members = cut(members)
-    per = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+def _blocks(rows: DataFrame, out_block: int, all_block: int, parts: int) -> DataFrame:
+    """Rows (key, id, component, more) of keys with several components, dealt into blocks.
+
+    Within a key the members outside its largest component (``out``) meet all
+    members: outsiders come in ``q`` blocks, all in ``m`` blocks, and each block
+    of one meets each of the other. Sorted by (key, q, m) within partitions.
+    """
+    more = [c for c in rows.columns if c not in ("key", "id", "component")]
+    per = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     stats = per.groupBy("key").agg(F.sum("n").alias("_all"), F.max(F.struct("n", "component")).alias("_top")).filter("_all > _top.n")
-    nq = F.ceil((F.col("_all") - F.col("_top.n")) / OUT_BLOCK).cast("int")
-    stats = stats.select("key", F.col("_top.component").alias("_top"), nq.alias("_nq"), F.ceil(F.col("_all") / ALL_BLOCK).cast("int").alias("_nm"))
-    rows = members.join(stats, "key")
+    nq = F.ceil((F.col("_all") - F.col("_top.n")) / out_block).cast("int")
+    stats = stats.select("key", F.col("_top.component").alias("_top"), nq.alias("_nq"), F.ceil(F.col("_all") / all_block).cast("int").alias("_nm"))
+    rows = rows.join(stats, "key")
     q, m = (F.pmod(F.xxhash64("id", F.lit(s)), F.col(n)).cast("int") for s, n in (("q", "_nq"), ("m", "_nm")))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    is_out = F.col("component") != F.col("_top")
-    roles = F.when(is_out, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    roles = F.when(F.col("component") != F.col("_top"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
     rows = rows.withColumn("out", F.explode(roles))
     rows = rows.withColumn("_other", F.explode(F.when(F.col("out"), every("_nm")).otherwise(every("_nq"))))
-    rows = rows.select("key", F.when(F.col("out"), q).otherwise(F.col("_other")).alias("q"), F.when(F.col("out"), F.col("_other")).otherwise(m).alias("m"), "out", "id", "component", "s0", "s1", "s2", "s3")
-    return rows.repartition(parts, "key", "q", "m").sortWithinPartitions("key", "q", "m").mapInArrow(_compare, "a long, b long").distinct()
+    rows = rows.select("key", F.when(F.col("out"), q).otherwise(F.col("_other")).alias("q"), F.when(F.col("out"), F.col("_other")).otherwise(m).alias("m"), "out", "id", "component", *more)
+    return rows.repartition(parts, "key", "q", "m").sortWithinPartitions("key", "q", "m")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return cut(members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+
+
+def _by_sketches(members: DataFrame, best: int | None, parts: int) -> DataFrame:
+    dealt = _blocks(members, OUT_BLOCK, ALL_BLOCK, parts)
+    return dealt.mapInArrow(lambda batches: _compare(batches, best), "a long, b long").distinct()
+
+
+def _spanning_links(out: list[tuple], every: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between outsiders and members, (id, component, text) each; one suffices for two components."""
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.get(c, c) != c:
+            c = up[c]
+        return c
+
+    values, sizes = shingle_sets([r[2] for r in every])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(every)), sizes)[order]
+    own, own_sizes = shingle_sets([r[2] for r in out])
+    links, end = [], 0
+    for (name, component, _), n in zip(out, own_sizes.tolist(), strict=True):
+        mine, end = own[end : end + n], end + n
+        low, high = np.searchsorted(values, mine), np.searchsorted(values, mine, side="right")
+        many = high - low
+        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        shared = np.bincount(owner[at], minlength=len(every))
+        for k in np.flatnonzero((100 * shared >= percent * (n + sizes - shared)) & (shared > 0)).tolist():
+            a, b = root(component), root(every[k][1])
+            if a != b and name != every[k][0]:
+                up[max(a, b)] = min(a, b)
+                links.append((min(name, every[k][0]), max(name, every[k][0])))
+    return links
+
+
+def _link(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, out, every = None, [], []
+
+        def emit():
+            links = _spanning_links(out, every, percent) if out and every else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            for *at, is_out, name, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != key:
+                    yield emit()
+                    key, out, every = at, [], []
+                (out if is_out else every).append((name, component, text))
+        yield emit()
+
+    return run
 
 
 def _confirm(percent: int):
@@ -239,14 +314,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         pairs = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         return cut(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"))
 
-    tried = cut(_by_pivots(members, None, 0))
+    tried = cut(_by_pivots(members))
     links = confirmed(tried)
     labels = connected_components(links)
-    more = cut(_by_pivots(members, labels, 1).join(tried, ["a", "b"], "left_anti"))
-    links, tried = links.unionByName(confirmed(more)), tried.unionByName(more)
+    more = cut(_by_sketches(_labelled(members, labels), BEST, parts).join(tried, ["a", "b"], "left_anti"))
+    links = links.unionByName(confirmed(more))
+    labels = connected_components(links)
+
+    grouped = _labelled(members, labels)
+    clusters = connected_components(cut(_by_sketches(grouped, None, parts))).withColumnRenamed("component", "key")
+    rest = clusters.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = rest.join(texts.withColumnRenamed("doc_id", "id"), "id").select("key", "id", "component", "text")
+    links = links.unionByName(cut(_blocks(rest, OUT_SETS, ALL_SETS, parts).mapInArrow(_link(percent), "a long, b long")))
     labels = connected_components(links)
-    rest = cut(_by_blocks(members, labels, parts).join(tried, ["a", "b"], "left_anti"))
-    labels = connected_components(links.unionByName(confirmed(rest)))
 
     of_class = classes.select("set_id", "id").join(labels, "id", "left").select("set_id", F.coalesce("component", "id").alias("_c"))
     found = sketched.select("doc_id", "n_shingles", "set_id").join(of_class, "set_id", "left")
