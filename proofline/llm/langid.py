@@ -28,6 +28,8 @@ from proofline.llm.tokens import slices
 
 TRAIN_ROWS = 2400
 FEATURES = 4096
+#: What a worker holds at a time: texts by number and characters, and bytes being hashed.
+SLICE_ROWS, SLICE_CHARS, BLOCK_BYTES = 256, 1_000_000, 262_144
 UNDETERMINED = "und"
 #: Families of some languages. A language of none of them is a family of its own.
 FAMILIES = {
@@ -51,12 +53,20 @@ def family_of(lang: str) -> str:
 def features(texts: list[str | None]) -> np.ndarray:
     """One row per text; the last column is constant."""
     raw = [(t or "").lower().encode("utf-8", "replace").translate(_FOLD) for t in texts]
-    data = np.frombuffer(b"   ".join([b"", *raw, b"  "]), np.uint8).astype(np.uint32)
-    owner = np.repeat(np.arange(len(raw)), [len(r) + 3 for r in raw])
-    data, n = data[2:], len(owner)  # each text keeps one space before it and two after
-    triple = ((data[:n] + data[1 : n + 1] * np.uint32(257) + data[2 : n + 2] * np.uint32(66049)) * np.uint32(2654435761)) >> np.uint32(20)
-    pair = ((data[:n] * np.uint32(263) + data[1 : n + 1] + np.uint32(99991)) * np.uint32(2246822519)) >> np.uint32(20)
-    counts = np.bincount(np.concatenate((owner * FEATURES + triple, owner * FEATURES + pair)), minlength=len(raw) * FEATURES)
+    data = np.frombuffer(b"   ".join([b"", *raw, b"  "]), np.uint8)[2:]  # each text keeps one space before it and two after
+    ends = np.cumsum([len(r) + 3 for r in raw])
+    counts = np.zeros(len(raw) * FEATURES, np.int32)
+    for start in range(0, int(ends[-1]) if raw else 0, BLOCK_BYTES):  # the hashes of a block at a time
+        stop = min(start + BLOCK_BYTES, int(ends[-1]))
+        owner = np.searchsorted(ends, np.arange(start, stop), "right")
+        first, n = int(owner[0]), stop - start
+        owner = (owner - first) * FEATURES
+        block = data[start : stop + 2].astype(np.uint32)
+        triple = ((block[:n] + block[1 : n + 1] * np.uint32(257) + block[2 : n + 2] * np.uint32(66049)) * np.uint32(2654435761)) >> np.uint32(20)
+        pair = ((block[:n] * np.uint32(263) + block[1 : n + 1] + np.uint32(99991)) * np.uint32(2246822519)) >> np.uint32(20)
+        found = np.bincount(owner + triple), np.bincount(owner + pair)
+        for hashed in found:
+            counts[first * FEATURES : first * FEATURES + len(hashed)] += hashed.astype(np.int32)
     x = np.sqrt(counts.reshape(len(raw), FEATURES).astype(np.float32))
     x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
     return np.concatenate((x, np.full((len(raw), 1), 0.5, np.float32)), 1)
@@ -138,7 +148,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_CHARS, SLICE_ROWS):
                 x = features(texts[a:b]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array(langs[a:b], pa.string()), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
@@ -159,7 +169,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_CHARS, SLICE_ROWS):
                 langs, scores = shared.value.predict(features(texts[a:b]))
                 for k, text in enumerate(texts[a:b]):
                     if not text or not any(map(str.isalpha, text)):

@@ -113,12 +113,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(texts: list, chars: int = 4_000_000):
-    """Ranges of a list of texts of about so many characters each."""
+def slices(texts: list, chars: int = 4_000_000, rows: int = 1_000_000):
+    """Ranges of a list of texts of about so many characters, and at most so many texts, each."""
     start = size = 0
     for k, text in enumerate(texts):
         size += len(text or "")
-        if size >= chars:
+        if size >= chars or k + 1 - start >= rows:
             yield start, k + 1
             start, size = k + 1, 0
     if start < len(texts):
