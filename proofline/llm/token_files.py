@@ -107,6 +107,14 @@ class TokenFile:
             out[left] |= self._chunks[level + 1][at].astype("<u4") << np.uint32(8 * (level + 1))
         return out
 
+    def scan(self) -> np.ndarray:
+        """All ids in order. Those that go on from a level stand in order in the next, so no rank is looked up."""
+        out, at = self._chunks[0].astype("<u4"), np.arange(self.n_ids)
+        for level, bits in enumerate(self._bits):
+            at = at[np.unpackbits(bits.view("u1"), count=len(at), bitorder="little").view(bool)]
+            out[at] |= self._chunks[level + 1].astype("<u4") << np.uint32(8 * (level + 1))
+        return out
+
     def document(self, k: int) -> np.ndarray:
         return self.take(np.arange(self.starts[k], self.starts[k + 1]))
 
@@ -173,7 +181,7 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 held = TokenFile(read_file(uri))
                 sizes = np.diff(held.starts)
                 ids = [held.document(k) for k in range(len(sizes))] if with_ids else None
-                every = held.take(np.arange(held.n_ids)) if ids is None else np.concatenate(ids)
+                every = held.scan() if ids is None else np.concatenate(ids)
                 sums = [zlib.crc32(every[a:b].tobytes()) for a, b in zip(held.starts[:-1].tolist(), held.starts[1:].tolist(), strict=True)]
                 columns = [pa.array(held.doc_ids, pa.int64()), pa.array(held.starts[:-1] + start), pa.array(sizes), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))] if with_ids else []), schema=schema)

@@ -538,3 +538,18 @@ def test_html_keeps_all_words(spark):
             from html import unescape
 
             assert words(unescape(re.sub(r"(?s)<[a-zA-Z/!](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", " ", plain))) - words(html_text.render(r["html"])) == Counter()
+
+
+def test_token_file_scan_and_random_access_agree():
+    import numpy as np
+
+    from proofline.llm.token_files import TokenFile, encode_file
+
+    rng = np.random.default_rng(5)
+    for size, top in ((1, 3), (5, 1 << 32), (511, 256), (512, 257), (5000, 50_000), (5000, 1 << 24)):
+        ids = rng.integers(0, top, size, dtype=np.uint64).astype("<u4")
+        held = TokenFile(encode_file([7, None], np.array([0, size // 2, size]), ids))
+        places = rng.integers(0, size, 300)
+        assert np.array_equal(held.scan(), ids)
+        assert np.array_equal(held.take(places), ids[places])
+        assert np.array_equal(held.document(1), ids[size // 2 :])
