@@ -1,10 +1,11 @@
 """Token ids of texts by the tokenizers library, from a file given by path.
 
-The vocabularies here split a text before any merge, and never across the
-border from a visible character to white space. So a text of usual characters
-is cut there into units, each distinct unit is encoded once by the library, and
-a text's ids are its units' ids in a row. Units not seen yet are encoded
-together, in long strings, and told apart by the bytes that each id stands for.
+The vocabularies here split a text before any merge, and always where a visible
+character meets white space after it or a letter meets a character of another
+kind after it. So a text of usual characters is cut there into units, each
+distinct unit is encoded once by the library, and a text's ids are its units'
+ids in a row. Units not seen yet are encoded together, in long strings, and told
+apart by the bytes that each id stands for.
 Texts with rare characters or the text of a special token go to the library
 whole. Either way the ids are those of ``encode(text, add_special_tokens=False)``.
 """
@@ -18,12 +19,13 @@ from collections.abc import Sequence
 
 import numpy as np
 
-_UNIT = re.compile(r"\s*\S+|\s+")
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_UNIT = re.compile(rf"\s*[^\s{_LETTERS}]*[{_LETTERS}]+|\s*[^\s{_LETTERS}]+|\s+")
 #: Beyond these the library's and Python's ideas of letters and spaces may differ.
 _UNUSUAL = re.compile("[^\t\n\r -~¡-ɏ]")
 #: Units kept in memory by a worker: two generations of this many.
 _KEPT_UNITS = 400_000
-_JOINED_CHARS = 4000
+_JOINED_UNITS = 500
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
@@ -55,30 +57,23 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, units: set[str]) -> None:
         """Encode units that begin with white space, joined; others alone."""
-        alone = [u for u in units if not u[0].isspace() or u.isspace()]
+        joined = [u for u in units if u[0] <= " " < u[-1]]
+        alone = [u for u in units if not u[0] <= " " < u[-1]]
         self._new.update(zip(alone, self._whole(alone), strict=True))
-        units = [u for u in units if u[0].isspace() and not u.isspace()]
-        groups, group, chars = [], [], 0
-        for u in units:
-            group.append(u)
-            chars += len(u)
-            if chars > _JOINED_CHARS:
-                groups.append(group)
-                group, chars = [], 0
-        if group:
-            groups.append(group)
-        for group, ids in zip(groups, self._whole(["".join(g) for g in groups]), strict=True):
-            ends = np.cumsum(self._bytes[np.frombuffer(ids, "<u4")])
-            borders = np.cumsum([len(u.encode()) for u in group])
-            at = np.searchsorted(ends, borders)
-            if not np.array_equal(ends[at], borders):
-                raise ValueError("this tokenizer merges across white space")
-            start = 0
-            for u, stop in zip(group, ((at + 1) * 4).tolist(), strict=True):
-                self._new[u] = ids[start:stop]
-                start = stop
+        if not joined:
+            return
+        texts = ["".join(joined[k : k + _JOINED_UNITS]) for k in range(0, len(joined), _JOINED_UNITS)]
+        ids = b"".join(self._whole(texts))
+        widths = np.where(np.frombuffer("".join(texts).encode("utf-32-le"), "<u4") < 128, 1, 2)  # a usual character has one or two bytes
+        borders = np.cumsum(widths)[np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined))) - 1]
+        ends = np.cumsum(self._bytes[np.frombuffer(ids, "<u4")])
+        at = np.minimum(np.searchsorted(ends, borders), len(ends) - 1)
+        if not np.array_equal(ends[at], borders):
+            raise ValueError("this tokenizer merges across white space")
+        stops = ((at + 1) * 4).tolist()
+        self._new.update(zip(joined, [ids[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -94,9 +89,9 @@ class Encoder:
         if len(self._new) > _KEPT_UNITS:
             self._old, self._new = self._new, {}
         new, old = self._new, self._old
-        needed = [u for u in needed if u not in new]
-        new.update([(u, old[u]) for u in needed if u in old])
-        self._learn([u for u in needed if u not in new])
+        missing = needed.difference(new)
+        new.update([(u, old[u]) for u in missing if u in old] if old else ())
+        self._learn(missing.difference(new))
         get = self._new.__getitem__
         for k, units in split.items():
             out[k] = b"".join(map(get, units))
