@@ -6,15 +6,16 @@ from collections import Counter
 import duckdb
 import pytest
 
-from proofline.plans.queries import ORACLE_SQL, QUERIES
+from proofline.plans import matching, queries
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLE_SQL = queries.QUERIES | matching.QUERIES, queries.ORACLE_SQL | matching.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("customer", "orders", "lineitem", "events", "documents", "pages"):
+    for name in ("customer", "supplier", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
