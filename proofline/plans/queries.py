@@ -104,6 +104,12 @@ def legal_name_keys(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.legal_name_key(F.concat(F.substring("text", 1, 60), F.lit(" PVT. Ltd."))).alias("key"))
 
 
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text || ' PVT. Ltd.'), '\bpvt\.?\b', 'private', 'g'), '\bltd\.?\b', 'limited', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
+def whole_name_keys(spark, d):
+    """``legal_name_keys`` sees 60 characters of a document; this sees all."""
+    return _t(spark, d, "documents").select("doc_id", text.legal_name_key(F.concat("text", F.lit(" PVT. Ltd."))).alias("key"))
+
+
 @query(r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda v: trim(regexp_replace(v, '\s+', ' ', 'g'))), lambda v: v <> ''), chr(10)) AS lines FROM documents")
 def normalised_lines(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.normalised_lines(F.col("text")).alias("lines"))
