@@ -19,13 +19,27 @@ from pyspark.sql import functions as F
 
 from proofline.llm.common import text_or_empty
 
+#: Characters of an account number by country (the IBAN registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "(?:" + "|".join(v.replace(" ", "|") for v in IBAN_LENGTHS.values()) + ")"
+#: What may be a number at a start: of a listed country its length, of others the run and a character after it.
+_ACCOUNT = "|".join(
+    [rf"(?:{v.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, v in IBAN_LENGTHS.items()]
+    + [rf"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+[A-Za-z0-9]?+"]
+)
+
 #: kind: pattern, score of a confirmed span, words that raise it.
 KINDS = {
     "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.7, "mail|contact|write|kontakt|correo|courriel"),
     "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", 0.5, "ip|address|host|server|adresse"),
     "card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){15,18}+(?![\x20-]?[0-9])", 0.6, "card|visa|master|credit|karte|carte|tarjeta"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.5, "phone|tel|call|mobile|fax|ruf"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.8, "iban|bank|account|konto|compte|cuenta"),
+    "iban": (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=({_ACCOUNT}))[A-Z]{{2}}[0-9]{{2}}", 0.8, "iban|bank|account|konto|compte|cuenta"),
 }
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.25
@@ -46,6 +60,19 @@ def _mod_97(value: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step)
 
 
+def _account(run: Column) -> Column:
+    """The account number that a run of capitals and digits starts with; null for none.
+
+    It ends where a group does. A country that isn't listed gives no length, so
+    the longest such part with the right remainder is taken.
+    """
+    groups = F.split(run, " ")
+    parts = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+    fits = lambda v: F.length(F.replace(v, F.lit(" "), F.lit(""))).between(15, 34) & ~v.rlike("[a-z]")
+    tried = F.when(run.rlike(f"^{_LISTED}"), F.array(run)).otherwise(F.filter(parts, fits))
+    return F.try_element_at(F.filter(tried, lambda v: _mod_97(v) == 1), F.lit(-1))
+
+
 def _confirmed(kind: str, value: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(value, r"\."), lambda part: part.rlike(_BYTE_PART))
@@ -54,7 +81,7 @@ def _confirmed(kind: str, value: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(value)).between(8, 15)
     if kind == "iban":
-        return _mod_97(value) == 1
+        return value.isNotNull()
     return F.lit(True)
 
 
@@ -72,18 +99,25 @@ def _ends(widths: Column) -> Column:
     return F.flatten(F.zip_with(inner, F.slice(starts, F.lit(1), count), lambda sums, start: F.transform(F.slice(sums, F.lit(2), F.lit(BLOCK)), lambda v: v + start)))
 
 
-def _spans(kind: str, body: Column, ends: Column, values: Column) -> Column:
-    """Confirmed spans of a kind, from its matches and where they end."""
+def _spans(kind: str, body: Column, ends: Column, matches: Column) -> Column:
+    """Confirmed spans of a kind, from its matches and where they end.
+
+    An account number is longer than its match, so that one number, or what
+    looks like one, doesn't hide another that starts within it.
+    """
     _, base, words = KINDS[kind]
 
     def span(pair: Column) -> Column:
-        value, end = pair["value"], pair["end"]
-        start = end - F.length(value)
+        value, start = pair["value"], pair["start"]
+        end = start + F.length(value)
         near = F.lower(F.substring(body, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))))
         score = F.lit(base) + F.when(near.rlike(words), CONTEXT_BONUS).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"), score.alias("score"))
 
-    pairs = F.zip_with(ends, values, lambda end, value: F.struct(end.alias("end"), value.alias("value")))
+    pairs = F.zip_with(ends, matches, lambda end, m: F.struct((end - F.length(m)).alias("start"), m.alias("value")))
+    if kind == "iban":
+        runs = F.regexp_extract_all(body, F.lit(KINDS[kind][0]), F.lit(1))
+        pairs = F.zip_with(pairs, runs, lambda pair, run: F.struct(pair["start"].alias("start"), _account(run).alias("value")))
     return F.transform(F.filter(pairs, lambda pair: _confirmed(kind, pair["value"])), span)
 
 
