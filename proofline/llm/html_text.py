@@ -29,8 +29,10 @@ _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)
 _TORN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
 #: After so many tags with torn quotes a page's quotes are no longer trusted.
 _TORN_TAGS = 20
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|style\s*=\s*["']?[^"'>]*(?:display\s*:\s*none|visibility\s*:\s*hidden)|type\s*=\s*["']?hidden""", re.I)
-_ATTRIBUTE = re.compile(r"""(?<![^\s=/"'])([^\s=/"']++)\s*+=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_MAY_HIDE = re.compile("hidden|style", re.I)
+#: A name, and its value if there is one; a quote that stays open ends with the tag.
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>][^\s=/>]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|$)|'([^']*+)(?:'|$)|([^\s"'>][^\s>]*+)))?+""")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style template noscript title meta link base iframe object svg math datalist audio video canvas".split())
@@ -132,15 +134,38 @@ def _close(stack: list[Node], names: set[str], bounds: set[str]) -> bool:
     return False
 
 
+def _attributes(node: Node) -> dict[str, str]:
+    """Values by lower-case name, empty for none; the first of a name counts."""
+    out: dict[str, str] = {}
+    for key, *values in _ATTRIBUTE.findall(node.attributes):
+        out.setdefault(key.lower(), "".join(values))
+    return out
+
+
+def _style_hides(style: str) -> bool:
+    """Whether ``display`` or ``visibility`` hides, by the last declaration of each or the last important one."""
+    last: dict[str, tuple[bool, str]] = {}
+    for declaration in _COMMENT.sub("", style).split(";"):
+        name, _, value = declaration.partition(":")
+        name, (value, mark, _) = name.strip().lower(), value.strip().lower().partition("!")
+        if mark or not last.get(name, (False,))[0]:
+            last[name] = (bool(mark), value.strip())
+    return last.get("display", ("", ""))[1] == "none" or last.get("visibility", ("", ""))[1] == "hidden"
+
+
 def _shown(node: Node) -> bool:
-    return node.tag not in UNSEEN and not (node.attributes and _HIDDEN.search(node.attributes))
+    if node.tag in UNSEEN:
+        return False
+    if not node.attributes or node.tag != "input" and not _MAY_HIDE.search(node.attributes):
+        return True
+    found = _attributes(node)
+    if "hidden" in found or node.tag == "input" and unescape(found.get("type", "")).lower() == "hidden":
+        return False
+    return not _style_hides(unescape(found.get("style", "")))
 
 
 def _attribute(node: Node, name: str) -> str | None:
-    for key, *values in _ATTRIBUTE.findall(node.attributes):
-        if key.lower() == name:
-            return next((v for v in values if v), "")
-    return None
+    return _attributes(node).get(name)
 
 
 class _Page:
