@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions.text import legal_name_key
@@ -59,7 +59,23 @@ def in_order(rows: DataFrame, key: str, place: str, value: str, most: int) -> Da
 
     Ranks cut each key before values are gathered, so an array stays bounded.
     """
-    from pyspark.sql import Window
-
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(place))).filter(F.col("_n") <= most)
     return first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", value))), lambda s: s[value].cast("string")), ",").alias("values"))
+
+
+def positions(rows: DataFrame, key: str, place: str, value: str, blocks: int = 64) -> DataFrame:
+    """(key, position, value): all values of each key by a numeric place, from 1 on, one row each.
+
+    Ranks are counted within blocks of places and the sizes of a key's earlier
+    blocks added, so a hot key is dealt over many tasks. Null places come first.
+    """
+    bounds = rows.approxQuantile(place, [k / blocks for k in range(1, blocks)], 0.005) if blocks > 1 else []
+    over = [F.when(F.col(place).cast("double") >= b, 1).otherwise(0) for b in sorted(set(bounds))]
+    block = F.when(F.col(place).isNull(), -1).otherwise(sum(over, F.lit(0)))
+    placed = rows.select(F.col(key).alias("_key"), F.col(place).alias("_place"), F.col(value).alias("_value"), block.alias("_block"))
+    ranked = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_block").orderBy("_place")))
+    sizes = placed.groupBy("_key", "_block").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("_key").alias("_k"), F.col("_block").alias("_b"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    both = ranked.join(starts, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")))
+    return both.select(F.col("_key").alias(key), (F.col("_n") + F.col("_start")).alias("position"), F.col("_value").alias("value"))

@@ -133,6 +133,12 @@ def ordered_members(spark, d):
     return M.in_order(_t(spark, d, "events"), "user_id", "event_id", "event_id", 20)
 
 
+@query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position, event_id AS value FROM events")
+def ordered_positions(spark, d):
+    """``ordered_members`` ends at 20 values of a key; this gives all, a row each."""
+    return M.positions(_t(spark, d, "events"), "user_id", "event_id", "event_id")
+
+
 @query(r"SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, '.')[1:5], lambda p: substr(trim(regexp_replace(p, '\s+', ' ', 'g')), 1, 2000)), lambda p: p <> ''), '|') AS passages FROM conversations WHERE len(list_distinct(list_transform(string_split(text, '.')[1:5], lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))))) = len(string_split(text, '.')[1:5])")
 def passage_highlights(spark, d):
     cut = F.split("text", r"\.")

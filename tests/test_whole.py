@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from proofline.llm import pii
+from proofline.operators import matching as M
 from proofline.plans import queries
 
 
@@ -24,3 +25,18 @@ def test_account_numbers_before_capitals_and_digits(spark):
     for text, spans in found:
         assert [s["value"] for s in spans] == cases[text], text
         assert all(text[s["start"] : s["end"]] == s["value"] for s in spans)
+
+
+def test_positions_keep_all_members(spark):
+    rows = [(1 if k % 3 else k % 5, (k * 7919) % 3001) for k in range(3000)] + [(None, 5), (None, 4), (2, None)]
+    want = {}
+    for key, place in rows:
+        want.setdefault(key, []).append(place)
+    want = {k: sorted(v, key=lambda p: -1 if p is None else p) for k, v in want.items()}
+    assert max(map(len, want.values())) > 2000
+    for blocks in (1, 8):
+        found = {}
+        for key, n, value in sorted(M.positions(spark.createDataFrame(rows, "k long, p long"), "k", "p", "p", blocks).collect(), key=lambda r: r["position"]):
+            found.setdefault(key, []).append(value)
+            assert n == len(found[key])
+        assert found == want
