@@ -109,6 +109,12 @@ def active_duplicates(spark, d):
     return M.more_than_one(_t(spark, d, "events"), ["user_id", "event_type"], F.col("event_id") % 4 == 0)
 
 
+@query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1 HAVING count(*) > 1")
+def open_order_duplicates(spark, d):
+    """F13 with an active status as the reference has it; ``active_duplicates`` looks at a quarter of the ids."""
+    return M.more_than_one(_t(spark, d, "orders"), ["o_custkey"], F.col("o_orderstatus").isin("O", "P"))
+
+
 @query("SELECT DISTINCT o_orderkey % 97 AS job_id, o_orderkey AS claim_id, u.id AS evidence_id FROM orders, LATERAL (SELECT unnest([o_orderkey % 50, o_custkey % 60]) AS id) u WHERE u.id >= 45")
 def unknown_evidence(spark, d):
     claims = _t(spark, d, "orders").select((F.col("o_orderkey") % 97).alias("job_id"), F.col("o_orderkey").alias("claim_id"), F.array(F.col("o_orderkey") % 50, F.col("o_custkey") % 60).alias("ids"))

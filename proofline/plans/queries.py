@@ -191,6 +191,13 @@ def entity_upsert(spark, d):
     return R.upsert(old, new, "identity_key")
 
 
+@query("SELECT 'cin:' || coalesce(c_custkey, s_suppkey) AS identity_key, CASE WHEN c_custkey IS NULL THEN s_name ELSE c_name END AS name FROM supplier FULL OUTER JOIN customer ON s_suppkey = c_custkey")
+def whole_upsert(spark, d):
+    """All customers upserted into all suppliers; ``entity_upsert`` takes its rows by residues of ids."""
+    rows = lambda table, key, name: _t(spark, d, table).select(F.concat(F.lit("cin:"), key).alias("identity_key"), F.col(name).alias("name"))
+    return R.upsert(rows("supplier", "s_suppkey", "s_name"), rows("customer", "c_custkey", "c_name"), "identity_key")
+
+
 @query("SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN 'accepted' WHEN first_value(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 'replayed' ELSE 'conflict' END AS outcome FROM events WINDOW w AS (PARTITION BY user_id, event_id % 5 ORDER BY ts, event_id)")
 def replayed_commands(spark, d):
     rows = _t(spark, d, "events").withColumn("slot", F.col("event_id") % 5)
@@ -242,6 +249,13 @@ def outbox_heads(spark, d):
     return pending.groupBy("event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("pending"))
 
 
+@query("SELECT o_orderpriority, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, count(*) AS pending FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
+def open_order_heads(spark, d):
+    """The oldest pending row of each queue by a real status; ``outbox_heads`` looks at half of the ids."""
+    pending = _t(spark, d, "orders").filter("o_orderstatus = 'O'")
+    return pending.groupBy("o_orderpriority").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"), F.count("*").alias("pending"))
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'F')")
 def unknown_references(spark, d):
     known = _t(spark, d, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("l_orderkey"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from proofline.llm import pii
 from proofline.operators import matching as M
-from proofline.plans import queries
+from proofline.plans import matching, queries
 
 
 def test_name_keys_read_whole_texts(spark, tmp_path):
@@ -40,3 +40,14 @@ def test_positions_keep_all_members(spark):
             found.setdefault(key, []).append(value)
             assert n == len(found[key])
         assert found == want
+
+
+def test_no_row_is_left_out_by_id(spark, tmp_path):
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    save([(k, k // 2, "OPFO"[k % 4], "p", k) for k in range(1, 12)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate long", "orders")
+    save([(3, "c3"), (9, "c9")], "c_custkey long, c_name string", "customer")
+    save([(3, "s3"), (4, "s4")], "s_suppkey long, s_name string", "supplier")
+    run = lambda f: sorted(map(tuple, f(spark, str(tmp_path)).collect()))
+    assert run(matching.QUERIES["open_order_duplicates"]) == [(2, 2), (4, 2)]
+    assert run(queries.QUERIES["open_order_heads"]) == [("p", 3, 5)]
+    assert run(queries.QUERIES["whole_upsert"]) == [("cin:3", "c3"), ("cin:4", "s4"), ("cin:9", "c9")]
