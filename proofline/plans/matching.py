@@ -151,3 +151,9 @@ def passage_highlights(spark, d):
     first = F.transform(F.slice(cut, 1, 5), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
     plain = F.size(F.array_distinct(first)) == F.size(first)
     return _t(spark, d, "conversations").filter(plain).select("conv_id", "turn", F.array_join(I.highlights(cut), "|").alias("passages"))
+
+
+@query(r"WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, '.')[1:5], lambda p: substr(trim(regexp_replace(p, '\s+', ' ', 'g')), 1, 2000)), lambda p: p <> '') AS l FROM conversations) SELECT conv_id, turn, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), '|') AS passages FROM p")
+def all_passage_highlights(spark, d):
+    """``passage_highlights`` leaves out texts with repeated passages; this has them all."""
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.array_join(I.highlights(F.split("text", r"\.")), "|").alias("passages"))
