@@ -15,6 +15,12 @@ TICKER = r"(?i)\b(NSE|BSE)\s*(?:code|symbol)?\s*[:\-]\s*([A-Z0-9&.-]{1,20})\b"
 INACTIVE = "inactive|dissolved|strike off|struck off|liquidat"
 
 
+def identity_key(cin: Column, name: Column, state: Column) -> Column:
+    """``cin:`` and the number in capitals; without one, name and state in small letters."""
+    named = F.concat(F.lit("name:"), F.lower(name), F.lit("|state:"), F.lower(F.coalesce(state, F.lit(""))))
+    return F.when(F.coalesce(cin, F.lit("")) != "", F.concat(F.lit("cin:"), F.upper(cin))).otherwise(named)
+
+
 def found(text: Column, pattern: str) -> Column:
     """Distinct upper-case matches, in order of place."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.upper))

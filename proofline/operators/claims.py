@@ -4,7 +4,8 @@ A fixed chain, as later steps build on earlier ones: rules, duplicates,
 contradictions and their resolution. Claims: job_id, claim_id, ord, subject,
 predicate, period, object, evidence_ids, is_material, freshness. Evidence:
 job_id, evidence_id, source_tier, published, suspected. All joins are within a
-job, so rows are partitioned by it.
+job, so rows are partitioned by it. Where both have an entity_id, evidence on
+another entity than the claim's is a reason too; a null one fits any.
 """
 
 from __future__ import annotations
@@ -17,12 +18,16 @@ from proofline.functions.text import collapsed, period_key
 
 def claim_evidence(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """What each claim's evidence amounts to; one row a claim."""
-    named = claims.select("job_id", "claim_id", F.explode_outer("evidence_ids").alias("evidence_id"))
+    whose = "entity_id" in claims.columns and "entity_id" in evidence.columns
+    entity = F.col("entity_id") if whose else F.lit(None).cast("string")
+    named = claims.select("job_id", "claim_id", entity.alias("_entity"), F.explode_outer("evidence_ids").alias("evidence_id"))
     joined = named.join(evidence.withColumn("_known", F.lit(True)), ["job_id", "evidence_id"], "left")
     known = F.col("_known").isNotNull()
+    other = known & F.col("entity_id").isNotNull() & ~F.col("entity_id").eqNullSafe(F.col("_entity")) if whose else F.lit(False)
     return joined.groupBy("job_id", "claim_id").agg(
         F.count_if(F.col("evidence_id").isNotNull() & ~known).alias("n_unknown"),
         F.count_if(known).alias("n_known"),
+        F.count_if(other).alias("n_other"),
         F.count_if(known & F.col("suspected")).alias("n_suspected"),
         F.count_if(known & (F.col("source_tier") >= 4)).alias("n_weak"),
         F.coalesce(F.min("source_tier"), F.lit(5)).alias("strongest"),
@@ -36,6 +41,7 @@ def verify(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     material, some = F.col("is_material"), F.col("n_known") > 0
     rules = {
         "evidence_reference_unknown": F.col("n_unknown") > 0,
+        "evidence_entity_mismatch": F.col("n_other") > 0,
         "material_claim_without_evidence": material & (F.size("evidence_ids") <= 0),
         "claim_stale": F.col("freshness") == "stale",
         "all_supporting_evidence_prompt_suspected": some & (F.col("n_suspected") == F.col("n_known")),
@@ -91,3 +97,14 @@ def coverage(topics: DataFrame, claims: DataFrame, verified: DataFrame) -> DataF
     per = hit.groupBy("job_id", "topic").agg(F.coalesce(F.max("_hit"), F.lit(0)).alias("_hit"))
     share = F.bround(F.sum("_hit") * 100 / F.count("*")).cast("long")
     return per.groupBy("job_id").agg(F.sum("_hit").alias("covered"), (F.count("*") - F.sum("_hit")).alias("missing"), share.alias("coverage_percent"))
+
+
+def unsupported(verified: DataFrame) -> DataFrame:
+    """(job_id, claim_id) of claims that a rule or an earlier claim invalidates.
+
+    Contradictions don't count. Claims of a topic with unknown evidence are
+    among them, as that is a rule.
+    """
+    settled = ("contradicted_by_preferred_claim", "unresolved_contradiction", "resolved_contradiction", "")
+    own = F.array_except(F.split("reasons", ","), F.array(*map(F.lit, settled)))
+    return verified.filter(F.size(own) > 0).select("job_id", "claim_id")

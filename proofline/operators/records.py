@@ -42,6 +42,13 @@ def merged(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFram
     return rows.groupBy(key).agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields])
 
 
+def merged_companies(rows: DataFrame, key: str, order: str, fields: list[str], first: list[str], names: str) -> DataFrame:
+    """``merged`` with ``first`` columns as the first record has them, null or not, and the names of all records once each, in order."""
+    lists = F.transform(F.array_sort(F.collect_list(F.struct(order, names))), lambda s: F.coalesce(s[names], F.array().cast("array<string>")))
+    whole = [F.min_by(F.struct(f), order)[f].alias(f) for f in first]
+    return rows.groupBy(key).agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields], *whole, F.array_distinct(F.flatten(lists)).alias(names))
+
+
 def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """``target`` with rows of ``source`` replacing or joining those of the same key."""
     fields = [c for c in target.columns if c != key]
