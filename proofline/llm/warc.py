@@ -14,9 +14,10 @@ of the record it refers to.
 
 Defined results: null html counts as empty; a null page_id is smaller than any
 other, is written without a name and never referred to; rows that repeat the
-largest page_id of a payload are a response each; a record whose segments do
-not add up is of type ``damaged`` without payload; an empty table gives no
-archives and no rows.
+largest page_id of a payload are a response each, under one identifier; a record
+whose segments do not add up, whose block is short, whose chunk framing is broken
+or whose payload has another digest than it states is of type ``damaged`` without
+payload; an empty table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ LEAST_REVISIT = 1000
 SEGMENT_BYTES = 32 * 1024
 CHUNK_BYTES = 8 * 1024
 FILE_BYTES = 16 << 20
+WINDOW_BYTES = 16 * 1024
 DATE = "1970-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _CLEAN = re.compile(r"[\x00-\x20\x7f]+")
@@ -68,45 +70,77 @@ def dechunked(framed: bytes) -> bytes:
 
 
 def payload_of(block: bytes) -> bytes:
-    """The payload of an HTTP response."""
+    """The payload of an HTTP response; broken framing raises ValueError."""
     head, _, body = block.partition(b"\r\n\r\n")
     return dechunked(body) if re.search(rb"(?i)\r\ntransfer-encoding:\s*chunked", head) else body
 
 
+def checked_payload(block: bytes, size: int, digest: str | None) -> tuple[bytes | None, str | None]:
+    """Payload and SHA-1 of a whole record's block; None for a block that is
+    shorter than stated, broken framing, or another digest than stated."""
+    try:
+        payload = payload_of(block) if len(block) == size else None
+    except ValueError:
+        payload = None
+    sha1 = None if payload is None else hashlib.sha1(payload).hexdigest()
+    return (None, None) if digest not in (None, sha1) else (payload, sha1)
+
+
 def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", len(block))] if v is not None)
     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
     return pack.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
+def _members(archive: bytes) -> Iterator[bytes]:
+    """The contents of each gzip member. Bytes are fed in windows: what a member
+    leaves over of its last window is all that is copied."""
+    data, at = memoryview(archive), 0
+    while at < len(data):
+        opened, parts = zlib.decompressobj(31), []
+        while not opened.eof and at < len(data):
+            window = data[at : at + WINDOW_BYTES]
+            parts.append(opened.decompress(window))
+            at += len(window) - len(opened.unused_data)
+        yield b"".join(parts)
+
+
 def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record of an archive, by lower-case field names."""
-    data = memoryview(archive)
-    while len(data):
-        opened = zlib.decompressobj(31)
-        raw = opened.decompress(data)
-        data = data[len(data) - len(opened.unused_data) :] if opened.unused_data else b""
-        while raw:
-            head, _, rest = raw.partition(b"\r\n\r\n")
-            version, *lines = head.decode("utf-8", "replace").split("\r\n")
-            if not version.startswith("WARC/"):
+    """(fields, block) of each record of an archive, by lower-case field names.
+
+    What isn't gzip, or no WARC record within it, raises; a block may be shorter
+    than its content-length if the archive ends early.
+    """
+    for raw in _members(archive):
+        at = 0
+        while at < len(raw):
+            end = raw.find(b"\r\n\r\n", at)
+            version, *lines = raw[at : end if end >= 0 else len(raw)].decode("utf-8", "replace").split("\r\n")
+            if not version.startswith("WARC/") or end < 0:
                 raise ValueError("not a WARC record")
             fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-            size = int(fields["content-length"])
-            yield fields, rest[:size]
-            raw = rest[size + 4 :]
+            at = end + 4 + int(fields["content-length"])
+            yield fields, raw[end + 4 : at]
+            at += 4
+
 
+def page_records(page: object, url: str | None, payload: bytes, sha1: str, origin: object, origin_url: str | None, name: str) -> list[bytes]:
+    """The record of a page, or its segments; a revisit if ``origin`` is another page.
 
-def page_records(page: object, url: str | None, payload: bytes, sha1: str, kind: str, refers_to: object, name: str) -> list[bytes]:
-    """The record of a page, or its segments. ``name`` is unique among all records."""
-    urn = f"<urn:page:{'' if page is None else page}:{name}>"
+    A page that is an origin has the identifier its revisits refer to. ``name``
+    is unique among all records and tells segments of different records apart.
+    """
+    urn = f"<urn:page:{page}:{sha1}>" if origin is not None and page == origin else f"<urn:page:{'' if page is None else page}:{sha1}:{name}>"
+    kind = "response" if origin is None or page == origin else "revisit"
+    uri = lambda u: _CLEAN.sub("%20", u) if u else None
     fields = [
-        ("WARC-Type", kind), ("WARC-Record-ID", urn), ("WARC-Date", DATE), ("WARC-Target-URI", _CLEAN.sub("%20", url) if url else None),
+        ("WARC-Type", kind), ("WARC-Record-ID", urn), ("WARC-Date", DATE), ("WARC-Target-URI", uri(url)),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()), ("Content-Type", "application/http; msgtype=response"),
     ]
     if kind == "revisit":
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        return [record([*fields, ("WARC-Profile", profile), ("WARC-Refers-To", f"<urn:page:{refers_to}>")], _HTTP)]
+        refers = [("WARC-Refers-To", f"<urn:page:{origin}:{sha1}>"), ("WARC-Refers-To-Target-URI", uri(origin_url)), ("WARC-Refers-To-Date", DATE)]
+        return [record([*fields, ("WARC-Profile", profile), *refers], _HTTP)]
     block = _HTTP + chunked(payload)
     if len(block) <= SEGMENT_BYTES:
         return [record(fields, block)]
@@ -114,6 +148,7 @@ def page_records(page: object, url: str | None, payload: bytes, sha1: str, kind:
     for k, a in enumerate(range(0, len(block), SEGMENT_BYTES), 1):
         part = block[a : a + SEGMENT_BYTES]
         own = fields if k == 1 else [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:segment:{k}:{name}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", urn)]
+        own = [*own, ("X-Segment-Set", name)]
         total = len(block) if a + SEGMENT_BYTES >= len(block) else None
         out.append(record([*own, ("WARC-Segment-Number", k), ("WARC-Segment-Total-Length", total)], part))
     return out
@@ -127,10 +162,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     rows = rows.withColumn("_same", F.when(F.octet_length("payload") >= least, F.col("sha1")))
-    origins = rows.filter("_same is not null").groupBy("_same").agg(F.max("page_id").alias("_origin"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    origins = rows.filter("_same is not null").groupBy("_same").agg(F.max(F.struct("page_id", "url")).alias("_origin"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     rows = rows.join(origins, "_same", "left")
-    revisit = F.col("_origin").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_origin"))
-    rows = rows.select("page_id", "url", "sha1", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), F.when(revisit, F.col("_origin")).alias("refers_to"))
+    revisit = F.col("_origin.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_origin.page_id"))
+    rows = rows.select("page_id", "url", "sha1", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), F.col("_origin.page_id").alias("origin"), F.col("_origin.url").alias("origin_url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -145,10 +180,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
 
         for batch in batches:
             for row in batch.to_pylist():
-                kind = "response" if row["refers_to"] is None else "revisit"
                 made += 1
-                held += page_records(row["page_id"], row["url"], row["payload"], row["sha1"], kind, row["refers_to"], f"{part}-{made}")
-                size += len(held[-1])
+                new = page_records(row["page_id"], row["url"], row["payload"], row["sha1"], row["origin"], row["origin_url"], f"{part}-{made}")
+                held += new
+                size += sum(map(len, new))
                 if size >= FILE_BYTES:
                     yield flush()
         if held:
@@ -178,14 +213,16 @@ def _read(with_payload: bool):
                     urn, kind = fields["warc-record-id"], fields["warc-type"]
                     number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
                     refers = fields.get("warc-refers-to")
-                    row = [fields.get("warc-segment-origin-id", urn), _page_id(urn), fields.get("warc-target-uri"), kind, _page_id(refers) if refers else None]
+                    origin = f"{fields.get('warc-segment-origin-id', urn)} {fields.get('x-segment-set', '')}"
+                    row = [origin, _page_id(urn), fields.get("warc-target-uri"), kind, _page_id(refers) if refers else None]
                     if number is not None:
                         row += [_digest(fields.get("warc-payload-digest")), int(number), int(total) if total else None, None, block]
                     elif kind == "revisit":
                         row += [_digest(fields.get("warc-payload-digest")), None, None, None, None]
                     else:
-                        payload = payload_of(block)
-                        row += [hashlib.sha1(payload).hexdigest(), None, None, len(payload), payload if with_payload else None]
+                        payload, sha1 = checked_payload(block, int(fields["content-length"]), _digest(fields.get("warc-payload-digest")))
+                        row[3] = kind if payload is not None else "damaged"
+                        row += [sha1, None, None, None if payload is None else len(payload), payload if with_payload else None]
                     rows.append(row)
                     size += len(block)
                     if size > 8 << 20:
@@ -207,10 +244,7 @@ def _reassembled(with_payload: bool):
                 parts = row["parts"]
                 block = b"".join(p["block"] for p in parts)
                 good = [p["number"] for p in parts] == list(range(1, len(parts) + 1)) and parts[-1]["total"] == len(block)
-                payload = payload_of(block) if good else None
-                sha1 = hashlib.sha1(payload).hexdigest() if good else None
-                if good and parts[0]["digest"] not in (None, sha1):
-                    payload = sha1 = None
+                payload, sha1 = checked_payload(block, len(block), parts[0]["digest"]) if good else (None, None)
                 kind = parts[0]["kind"] if payload is not None else "damaged"
                 rows.append((parts[0]["page_id"], parts[0]["url"], None if payload is None else len(payload), sha1, kind, None, payload if with_payload else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
