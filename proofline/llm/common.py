@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,16 +23,35 @@ def shared_dir(spark: SparkSession) -> str:
         current = context._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if found is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
         context.setCheckpointDir(found)
     return found
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of frames that are gone.
+
+    Spark does so when its driver collects garbage, by default every 30 minutes;
+    jobs with many small steps would fill disks before. Checkpoints go where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is true.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder; later uses read those files.
 
-    The files survive lost executors and go when Spark collects the frame. A
-    checkpoint also hands on what the optimizer has inferred so far, which in
+    The files survive lost executors. They go some time after the frame, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is true (see
+    ``release``); otherwise the folder's owner deletes them. A checkpoint also hands on what the optimizer has inferred so far, which in
     iterations grows without bound; the frame returned starts afresh.
     """
     session = df.sparkSession
@@ -52,6 +72,12 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's columns, but for those that hold maps, which have no hash."""
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    return F.xxhash64(*hashed) if hashed else F.lit(0).cast("long")
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

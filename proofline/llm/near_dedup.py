@@ -26,7 +26,10 @@ estimate's limit with 3e-7.
 
 Defined results: a null or blank text has no shingles and links with nothing; a
 null doc_id links with nothing, its component is null and it is kept; rows that
-repeat a doc_id are taken to repeat its text too; an empty table gives no rows.
+repeat a doc_id are one document, for whose links the greatest of their texts
+stands where they differ; an empty table gives no rows. Links are confirmed on
+64-bit hashes of shingles: that a pair of texts of some 1,000 shingles has any
+two different ones of the same hash has a chance of about 1e-13.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import cut, small_batches
+from proofline.llm.common import cut, release, small_batches
 from proofline.llm.components import connected_components
 from proofline.llm.shingles import mix, overlap, shingle_sets
 from proofline.llm.tokens import slices
@@ -53,9 +56,9 @@ PIVOTS = 4
 BEST = 3
 OUT_BLOCK = 2048
 ALL_BLOCK = 8192
-#: The same for blocks of full sets.
-OUT_SETS = 512
-ALL_SETS = 2048
+#: The same for blocks of full sets, by the shingles they hold.
+OUT_SHINGLES = 250_000
+ALL_SHINGLES = 1_000_000
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _NONE = np.uint64(2**64 - 1)
 _PAIRS = np.uint64(0x5555555555555555)
@@ -192,15 +195,16 @@ def _compare(batches: Iterator[pa.RecordBatch], best: int | None) -> Iterator[pa
         yield emit(found)
 
 
-def _blocks(rows: DataFrame, out_block: int, all_block: int, parts: int) -> DataFrame:
+def _blocks(rows: DataFrame, out_block: int, all_block: int, parts: int, weight: Column | None = None) -> DataFrame:
     """Rows (key, id, component, more) of keys with several components, dealt into blocks.
 
     Within a key the members outside its largest component (``out``) meet all
     members: outsiders come in ``q`` blocks, all in ``m`` blocks, and each block
-    of one meets each of the other. Sorted by (key, q, m) within partitions.
+    of one meets each of the other. A block has the given weight on average; a
+    row weighs 1 unless ``weight`` is given. Sorted by (key, q, m) within partitions.
     """
     more = [c for c in rows.columns if c not in ("key", "id", "component")]
-    per = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    per = rows.groupBy("key", "component").agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
     stats = per.groupBy("key").agg(F.sum("n").alias("_all"), F.max(F.struct("n", "component")).alias("_top")).filter("_all > _top.n")
     nq = F.ceil((F.col("_all") - F.col("_top.n")) / out_block).cast("int")
     stats = stats.select("key", F.col("_top.component").alias("_top"), nq.alias("_nq"), F.ceil(F.col("_all") / all_block).cast("int").alias("_nm"))
@@ -299,15 +303,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shape = "doc_id long, n_shingles long, set_id binary, keys array<long>, s0 long, s1 long, s2 long, s3 long"
     sketched = cut(docs.mapInArrow(_sketch, shape))
     linked = sketched.filter("n_shingles > 0 and doc_id is not null")
-    classes = linked.groupBy("set_id").agg(F.min(F.struct("doc_id", "keys", "s0", "s1", "s2", "s3")).alias("r"))
-    classes = cut(classes.select("set_id", F.col("r.doc_id").alias("id"), "r.keys", "r.s0", "r.s1", "r.s2", "r.s3"))
+    classes = linked.groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "keys", "s0", "s1", "s2", "s3")).alias("r"))
+    classes = cut(classes.select("set_id", F.col("r.doc_id").alias("id"), "r.n_shingles", "r.keys", "r.s0", "r.s1", "r.s2", "r.s3"))
 
     in_bands = classes.select("id", F.explode("keys").alias("key"))
     shared = in_bands.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
     members = in_bands.join(shared, "key").join(classes.select("id", "s0", "s1", "s2", "s3"), "id")
     members = cut(members)
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = cut(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]))
+    texts = cut(docs.join(wanted, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")))
+    release(spark)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -315,18 +320,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         return cut(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"))
 
     tried = cut(_by_pivots(members))
-    links = confirmed(tried)
-    labels = connected_components(links)
+    labels = connected_components(confirmed(tried))
     more = cut(_by_sketches(_labelled(members, labels), BEST, parts).join(tried, ["a", "b"], "left_anti"))
-    links = links.unionByName(confirmed(more))
-    labels = connected_components(links)
+    labels = connected_components(confirmed(more), labels)
 
-    grouped = _labelled(members, labels)
-    clusters = connected_components(cut(_by_sketches(grouped, None, parts))).withColumnRenamed("component", "key")
+    clusters = connected_components(_by_sketches(_labelled(members, labels), None, parts)).withColumnRenamed("component", "key")
     rest = clusters.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = rest.join(texts.withColumnRenamed("doc_id", "id"), "id").select("key", "id", "component", "text")
-    links = links.unionByName(cut(_blocks(rest, OUT_SETS, ALL_SETS, parts).mapInArrow(_link(percent), "a long, b long")))
-    labels = connected_components(links)
+    sizes = classes.select("id", "n_shingles")
+    rest = rest.join(sizes, "id").join(texts.withColumnRenamed("doc_id", "id"), "id").select("key", "id", "component", "n_shingles", "text")
+    dealt = _blocks(rest, OUT_SHINGLES, ALL_SHINGLES, parts, F.col("n_shingles")).drop("n_shingles")
+    labels = connected_components(dealt.mapInArrow(_link(percent), "a long, b long"), labels)
 
     of_class = classes.select("set_id", "id").join(labels, "id", "left").select("set_id", F.coalesce("component", "id").alias("_c"))
     found = sketched.select("doc_id", "n_shingles", "set_id").join(of_class, "set_id", "left")

@@ -409,8 +409,8 @@ def test_near_groups(spark, monkeypatch):
     """A large group whose members are alike only through a centre, a chain, and a common passage; small blocks."""
     monkeypatch.setattr(near_dedup, "OUT_BLOCK", 16)
     monkeypatch.setattr(near_dedup, "ALL_BLOCK", 32)
-    monkeypatch.setattr(near_dedup, "OUT_SETS", 8)
-    monkeypatch.setattr(near_dedup, "ALL_SETS", 16)
+    monkeypatch.setattr(near_dedup, "OUT_SHINGLES", 800)
+    monkeypatch.setattr(near_dedup, "ALL_SHINGLES", 1600)
     monkeypatch.setattr(near_dedup, "BEST", 1)
     draw = np.random.default_rng(2)
     word = lambda n: [f"w{k}" for k in draw.integers(0, 10**9, n)]
