@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.llm.common import cut, text_or_empty
+from proofline.llm.common import cut, row_hash, text_or_empty
 
 #: Digests that the broadcast may hold at most, and counters of the summary.
 HEAVY = 1000
@@ -52,15 +52,18 @@ def duplicate_groups(docs: DataFrame, text: Column | None = None, heavy: int = H
     return early.unionByName(late)
 
 
-def drop_duplicates(docs: DataFrame, **options) -> DataFrame:
+def drop_duplicates(docs: DataFrame, text: Column | None = None, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``.
 
-    Joined on doc_id and digest; of rows that repeat both, one stays.
+    Joined on doc_id and digest of ``text`` (the column of that name, or an
+    expression over it). Of rows that repeat both, the one stays whose other
+    columns have the least hash, so that reruns agree.
     """
-    kept = duplicate_groups(docs, **options).filter("kept").select(_key("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _key("doc_id").alias("_id"), F.sha2(text_or_empty(F.col("text")), 256).alias("_digest"))
+    kept = duplicate_groups(docs, text, **options).filter("kept").select(_key("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
+    digest = F.sha2(text_or_empty(F.col("text") if text is None else text), 256)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _key("doc_id").alias("_id"), digest.alias("_digest"), row_hash(docs).alias("_order"))
     packed = packed.join(kept, ["_id", "_digest"], "left_semi")
-    packed = packed.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(F.lit(0))))
+    packed = packed.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_order")))
     return packed.filter("_n = 1").select("_row.*")
 
 
