@@ -7,8 +7,9 @@ is first taken in complete epochs; what is left of the target is filled with
 the documents whose prefix sum, in key order, comes nearest to it.
 
 A source may hold a third of all rows, so no window spans a source: keys fall
-into buckets of about equal counts, the sizes of the buckets are summed first,
-and each row adds its bucket's start to a prefix sum within the bucket.
+into buckets of about equal counts (by quantiles of the source's own keys), the
+sizes of the buckets are summed first, and each row adds its bucket's start to a
+prefix sum within the bucket.
 
 Defined results: a null or empty text has size 0 and is taken with 0 words; a
 null source is a source of its own, after all others; equal keys (repeated
@@ -23,11 +24,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.llm.common import buckets_for, cut, text_or_empty, word_count
+from proofline.llm.common import cut, row_hash, text_or_empty, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 ROWS_PER_BUCKET = 4096
+#: Parts of a source by quantiles, and sources up to which their borders (some 0.5 KB a source) are broadcast.
+TOP = 64
+MOST_SOURCES = 10_000
 
 
 def quality_weight(text: Column) -> Column:
@@ -75,6 +79,31 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: fl
     )
 
 
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, written, and marked for broadcast if it has so few rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _dealt(narrow: DataFrame, rows_per_bucket: int) -> DataFrame:
+    """``narrow`` with a bucket that grows with the key within a source, equal keys alike.
+
+    ``TOP`` parts of a source end at approximate quantiles of its keys, whatever
+    their distribution; a part is cut as often as its rows ask, evenly, the last
+    one by an exponential tail.
+    """
+    borders = narrow.groupBy("_source").agg(F.percentile_approx("_key", [k / TOP for k in range(1, TOP)], 20 * TOP).alias("_borders"))
+    top = F.size(F.filter("_borders", lambda x: x < F.col("_key")))
+    narrow = narrow.join(_bounded(borders, MOST_SOURCES), "_source").withColumn("_top", top).drop("_borders")
+    parts = narrow.groupBy("_source", "_top").agg(F.count("*").alias("_n"), F.min("_key").alias("_low"), F.max("_key").alias("_high"), F.avg("_key").alias("_mean"))
+    parts = parts.withColumn("_n", F.ceil(F.col("_n") / rows_per_bucket).cast("long")).filter("_n > 1 and _high > _low")
+    narrow = narrow.join(_bounded(parts, MOST_SOURCES * TOP), ["_source", "_top"], "left")
+    over = F.col("_key") - F.col("_low")
+    share = F.when(F.col("_top") < TOP - 1, over / (F.col("_high") - F.col("_low"))).otherwise(1 - F.exp(-over / (F.col("_mean") - F.col("_low"))))
+    within = F.coalesce(F.least(F.floor(share * F.col("_n")), F.col("_n") - 1), F.lit(0)).cast("long")
+    return narrow.withColumn("_bucket", F.struct("_top", within.alias("_in"))).drop("_top", "_n", "_low", "_high", "_mean")
+
+
 def mix_plan(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -96,18 +125,16 @@ def mix_plan(
         "doc_id",
         F.xxhash64("text").alias("text_key"),
         "source",
-        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_source"),
+        _source_key("source").alias("_source"),
         size.alias("size"),
         exponential_key(F.col("doc_id"), quality, seed).alias("_key"),
     )
     narrow = cut(narrow)
-    parts = buckets_for(narrow.count(), rows_per_bucket)
-    spread = F.least(F.floor((1 - F.exp(-F.col("_key"))) * parts), F.lit(parts - 1)).cast("int")
-    narrow = narrow.withColumn("_bucket", spread)
+    narrow = _dealt(narrow, rows_per_bucket)
     sums = narrow.groupBy("_source", "_bucket").agg(F.first("source").alias("source"), F.sum("size").alias("_part"))
     sums = cut(sums)
     targets = source_targets(sums.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_part").alias("source_size")).drop("_source"), weights, cap)
-    targets = targets.select(F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_source"), "source_size", "target")
+    targets = targets.select(_source_key("source").alias("_source"), "source_size", "target")
     earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_source", "_bucket", F.coalesce(F.sum("_part").over(earlier), F.lit(0)).alias("_start")).join(targets, "_source")
     rows = narrow.join(starts, ["_source", "_bucket"])
@@ -124,15 +151,23 @@ def mix_plan(
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the plan takes it.
 
-    Rows that repeat are told apart by their number, so that each gets its own
-    number of copies and none is multiplied by the join.
+    Rows and plan meet on source, doc_id and text, so each source has the copies
+    its plan asks for. Of rows that repeat all three, whose plans differ by one
+    copy at most, those whose other columns have the least hashes get more.
     """
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
-    number = F.row_number().over(Window.partitionBy("_id", "_text_key").orderBy(F.lit(0)))
-    plan = mix_plan(docs, **options).filter("copies > 0").select(name, F.col("text_key").alias("_text_key"), F.col("copies").cast("int").alias("_copies"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), name, F.xxhash64("text").alias("_text_key"))
-    joined = rows.withColumn("_k", number).join(plan.withColumn("_k", number), ["_id", "_text_key", "_k"])
-    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    id_key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("_id")
+    keys = ["_source", "_id", "_text_key"]
+    plan = mix_plan(docs, **options).select(_source_key("source").alias("_source"), id_key, F.col("text_key").alias("_text_key"), "copies")
+    plan = plan.groupBy(keys).agg(F.min("copies").alias("_low"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("_more")).filter("_low + _more > 0")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _source_key("source").alias("_source"), id_key, F.xxhash64("text").alias("_text_key"), row_hash(docs).alias("_order"))
+    number = F.row_number().over(Window.partitionBy(keys).orderBy("_order"))
+    copies = (F.col("_low") + (number <= F.col("_more")).cast("long")).cast("int")
+    taken = rows.join(plan, keys).withColumn("_copies", copies).filter("_copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+
+
+def _source_key(name: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
