@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet
 and read again as the next one's ``docs``. All but the last return the columns
-of ``documents``.
+of ``documents``. A stage's files go once the next one is written.
+
+Defined results, at every stage: texts that are null or have no letter go with
+the first; a null doc_id is a document of its own name, exact copies of which are
+one, and has no near copies; a null source is a source; repeated rows are exact
+copies; further columns, of whatever name, are carried on; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -10,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofline.llm.common import delete_folder, release
 from proofline.llm.exact_dedup import drop_duplicates
 from proofline.llm.files import output_dir
 from proofline.llm.langid import UNDETERMINED, fit, identify
@@ -24,10 +31,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays, a null one if there is no other."""
     return drop_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by near copies the document with the smallest doc_id stays."""
     return drop_near_duplicates(docs)
 
 
@@ -37,6 +46,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its sequence and place; repeats are packed each."""
     return pack(token_pieces(docs))
 
 
@@ -49,6 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        release(spark)
+        if k:
+            delete_folder(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
 
 
