@@ -2,14 +2,18 @@
 
 A tolerant tree builder closes what HTML lets authors leave open (paragraphs,
 list items, table cells and the like) and ignores stray end tags. Rendering
-walks the tree: what is not shown (head, scripts, hidden elements and styles)
-is left out, everything else is kept. Blocks start on lines of their own,
-paragraphs and headings stand between blank lines, list items carry bullets or
-numbers and are indented, table columns are aligned, ``pre`` keeps its spaces.
-
-Defined results: null html gives null text, empty html empty text; elements
-nested deeper than ``DEEPEST`` are kept but no longer indented by structure;
-repeated rows give a row each.
+walks the tree: what is not shown (the elements ``UNSEEN``, hidden elements and
+styles) is left out, everything else is kept, at any depth. Blocks start on lines
+of their own, paragraphs and headings stand between blank lines, list items carry
+bullets or numbers and are indented, table columns are aligned, ``pre`` keeps its
+spaces.
+
+Layout has two bounds, which no text is lost by: lists, tables and quotes within
+``LAYOUT_LEVELS`` others are laid out as plain blocks, and cells wider than
+``WIDEST_CELL`` don't widen their column. Time and text stay linear in the page.
+
+Defined results: null html gives null text, empty html empty text; a tag whose
+quotes don't end ends at the next ``>``; repeated rows give a row each.
 """
 
 from __future__ import annotations
@@ -24,18 +28,17 @@ from pyspark.sql import DataFrame
 from proofline.llm.common import small_batches
 from proofline.llm.tokens import slices
 
-DEEPEST = 150
-_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-_TORN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
-#: After so many tags with torn quotes a page's quotes are no longer trusted.
-_TORN_TAGS = 20
+LAYOUT_LEVELS = 32
+WIDEST_CELL = 60
+_TAG_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_MARK = re.compile("[\"'>]")
 _MAY_HIDE = re.compile("hidden|style", re.I)
 #: A name, and its value if there is one; a quote that stays open ends with the tag.
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>][^\s=/>]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|$)|'([^']*+)(?:'|$)|([^\s"'>][^\s>]*+)))?+""")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title meta link base iframe object svg math datalist audio video canvas".split())
+UNSEEN = frozenset("head script style template noscript title meta link base iframe object datalist audio video canvas desc metadata defs symbol clippath mask lineargradient radialgradient filter pattern marker annotation annotation-xml".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 BLOCKS = PARAGRAPHS | frozenset("address article aside body details dialog dd div dt fieldset figcaption footer form header html legend li main menu nav option optgroup section select summary caption center".split())
@@ -66,10 +69,69 @@ class Node:
         self.tag, self.children, self.attributes = tag, [], attributes
 
 
+class _Tags:
+    """Where tags end: at the first ``>`` outside quotes.
+
+    Whether one comes at all is known for every mark that was met in vain, and
+    the next mark is kept, so that finding all tags of a page takes one pass.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.vain = html, set()
+        self.since = self.until = -1
+
+    def _mark(self, at: int) -> int:
+        if not self.since <= at <= self.until:
+            found = _MARK.search(self.html, at)
+            self.since, self.until = at, found.start() if found else len(self.html)
+        return self.until
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose name ends at ``at``; -1 for none."""
+        met = []
+        while True:
+            mark = self._mark(at)
+            if mark < len(self.html) and self.html[mark] == ">":
+                return mark
+            close = self.html.find(self.html[mark], mark + 1) if mark < len(self.html) and mark not in self.vain else -1
+            met.append(mark)
+            if close < 0:
+                self.vain.update(met)
+                return self.html.find(">", met[0])
+            at = close + 1
+
+
+class _Open:
+    """The open elements, and where those of each name are."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop(self) -> None:
+        self.at[self.nodes.pop().tag].pop()
+
+    def _last(self, names) -> int:
+        return max((places[-1] for n in names if (places := self.at.get(n))), default=0)
+
+    def close(self, names: set[str], bounds: set[str]) -> bool:
+        """Closes the last open element of these names, unless one of ``bounds`` was opened after it."""
+        last = self._last(names)
+        if not last or last < self._last(bounds):
+            return False
+        while len(self.nodes) > last:
+            self.pop()
+        return True
+
+
 def parse(html: str) -> Node:
     """The tree of a page; text nodes are strings."""
     root = Node("#root")
-    stack, at, end, last, torn = [root], 0, len(html), html.rfind(">"), 0
+    opened, tags = _Open(root), _Tags(html)
+    at, end, last = 0, len(html), html.rfind(">")
     while at < end:
         start = html.find("<", at)
         if start > last:  # no tag ends any more, but a comment may begin
@@ -77,7 +139,9 @@ def parse(html: str) -> Node:
         start = start if start >= 0 else end
         if start > at:
             text = html[at:start]
-            stack[-1].children.append(unescape(text) if "&" in text else text)
+            if opened.nodes[-1].tag == "head" and text.strip():
+                opened.pop()
+            opened.nodes[-1].children.append(unescape(text) if "&" in text else text)
             at = start
             continue
         if html.startswith("<!--", at):
@@ -87,31 +151,27 @@ def parse(html: str) -> Node:
         if html[at + 1] in "!?":
             at = html.find(">", at) + 1
             continue
-        m = _TAG.match(html, at) if torn < _TORN_TAGS else None
+        m = _TAG_NAME.match(html, at)
         if m is None:
-            m = _TORN_TAG.match(html, at)
-            torn += m is not None
-        if m is None:
-            stack[-1].children.append("<")
+            opened.nodes[-1].children.append("<")
             at += 1
             continue
-        at = m.end()
-        name = m[2]
-        tag = name.lower()
+        stop = tags.end(m.end())
+        attributes, at, tag = html[m.end() : stop], stop + 1, m[2].lower()
         if m[1]:
-            _close(stack, {tag}, _BOUNDS - {tag} if tag not in ("table", "td", "th", "tr", "tbody", "thead", "tfoot") else {"table"} - {tag})
+            opened.close({tag}, _BOUNDS - {tag} if tag not in ("table", "td", "th", "tr", "tbody", "thead", "tfoot") else {"table"} - {tag})
             continue
         if tag in _P_ENDS:
-            _close(stack, {"p"}, _BOUNDS)
+            opened.close({"p"}, _BOUNDS)
         if tag in CLOSES:
             names, bounds = CLOSES[tag]
-            while _close(stack, names, bounds):
+            while opened.close(names, bounds):
                 pass
-        elif stack[-1].tag == "head" and tag not in HEAD_TAGS:
-            stack.pop()
-        node = Node(tag, m[3])
-        stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+        elif opened.nodes[-1].tag == "head" and tag not in HEAD_TAGS:
+            opened.pop()
+        node = Node(tag, attributes)
+        opened.nodes[-1].children.append(node)
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
@@ -119,21 +179,11 @@ def parse(html: str) -> Node:
             body = html[at:stop]
             node.children.append(unescape(body) if tag in ("textarea", "title") else body)
             at = (html.find(">", stop) + 1 or end) if close else end
-        elif len(stack) < DEEPEST:
-            stack.append(node)
+        else:
+            opened.push(node)
     return root
 
 
-def _close(stack: list[Node], names: set[str], bounds: set[str]) -> bool:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in names:
-            del stack[k:]
-            return True
-        if stack[k].tag in bounds:
-            return False
-    return False
-
-
 def _attributes(node: Node) -> dict[str, str]:
     """Values by lower-case name, empty for none; the first of a name counts."""
     out: dict[str, str] = {}
@@ -199,6 +249,9 @@ class _Page:
         self.end_line()
         self.blank = True
 
+    def gap(self) -> None:
+        self.space = True
+
     def block(self, lines: list[str]) -> None:
         self.end_line()
         if lines:
@@ -212,125 +265,142 @@ def _number(text: str | None, other: int) -> int:
     return int(text) if text and text.isascii() and text.lstrip("-").isdigit() and len(text) < 10 else other
 
 
-def _list(node: Node) -> list[str]:
+def _list(node: Node, level: int) -> list[str]:
     at, out = _number(_attribute(node, "start"), 1), []
     loose = Node("#loose")
     for child in [*node.children, None]:
         if isinstance(child, Node) and child.tag == "li" or child is None:
             if any(not isinstance(c, str) or c.strip() for c in loose.children):
-                out += ["  " + x if x else x for x in _lines(loose)]
+                out += ["  " + x if x else x for x in _lines(loose, level)]
             loose = Node("#loose")
             if child is not None and _shown(child):
                 at = _number(_attribute(child, "value"), at) if node.tag == "ol" and child.attributes else at
                 mark = f"{at}. " if node.tag == "ol" else "* "
                 at += 1
-                lines = _lines(child)
+                lines = _lines(child, level)
                 out += [(mark if k == 0 else " " * len(mark)) + x if x else x for k, x in enumerate(lines or [""])] if lines else []
         else:
             loose.children.append(child)
     return out
 
 
-def _rows(node: Node, rows: list[list[tuple[list[str], int]]], before: list[str]) -> None:
+def _rows(node: Node, rows: list[list[tuple[list[str], int]]], before: list[str], level: int) -> None:
+    """Rows of cells; what stands in a table outside of them goes before it."""
     for child in node.children:
         if isinstance(child, str):
             if child.strip():
                 before.append(_SPACE.sub(" ", child).strip())
         elif _shown(child):
             if child.tag == "tr":
-                cells = [c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th")]
-                rest = Node("#rest")
-                rest.children = [c for c in child.children if c not in cells]
-                before += [x for x in _lines(rest) if x]
-                rows.append([(_lines(c) if _shown(c) else [], max(1, min(_number(_attribute(c, "colspan"), 1) if c.attributes else 1, 100))) for c in cells])
+                cells, rest = [], Node("#rest")
+                for c in child.children:
+                    (cells if isinstance(c, Node) and c.tag in ("td", "th") else rest.children).append(c)
+                before += [x for x in _lines(rest, level) if x]
+                rows.append([(_lines(c, level) if _shown(c) else [], max(1, min(_number(_attribute(c, "colspan"), 1) if c.attributes else 1, 100))) for c in cells])
             elif child.tag in ("thead", "tbody", "tfoot"):
-                _rows(child, rows, before)
+                _rows(child, rows, before, level)
             elif child.tag in ("td", "th"):
-                rows.append([(_lines(child), 1)])
+                rows.append([(_lines(child, level), 1)])
             else:
-                before += _lines(child)
+                before += _lines(child, level)
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node, level: int) -> list[str]:
     rows: list[list[tuple[list[str], int]]] = []
     out: list[str] = []
-    _rows(node, rows, out)
+    _rows(node, rows, out, level)
     widths: dict[int, int] = {}
     for row in rows:
         column = 0
         for lines, span in row:
             if span == 1:
-                widths[column] = max(widths.get(column, 0), max(map(len, lines), default=0))
+                widths[column] = max(widths.get(column, 0), max((len(x) for x in lines if len(x) <= WIDEST_CELL), default=0))
             column += span
     for row in rows:
         for k in range(max((len(lines) for lines, _ in row), default=0)):
             column, parts = 0, []
             for lines, span in row:
                 width = sum(widths.get(c, 0) for c in range(column, column + span)) + 3 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(width))
+                parts.append((lines[k] if k < len(lines) else "").ljust(min(width, 4 * WIDEST_CELL)))
                 column += span
             out.append(" | ".join(parts).rstrip())
     return out
 
 
-def _walk(node: Node, page: _Page) -> None:
-    for child in node.children:
+def _walk(node: Node, page: _Page, level: int) -> None:
+    """Puts the shown content of ``node`` on the page; only lists, tables and quotes are laid out by calls of their own."""
+    nothing = lambda: None
+    stack = [(node, iter(node.children), nothing)]
+    while stack:
+        parent, children, finish = stack[-1]
+        child = next(children, None)
+        if child is None:
+            finish()
+            stack.pop()
+            continue
         if isinstance(child, str):
             page.text(child)
             continue
         tag = child.tag
         if not _shown(child):
             continue
+        around, inner = nothing, None
         if tag == "br":
             if page.line:
                 page.end_line()
             elif page.lines and page.lines[-1]:
                 page.lines.append("")
-        elif tag == "table":
-            page.paragraph()
-            page.block(_table(child))
-            page.paragraph()
-        elif tag in ("ul", "ol", "menu"):
-            page.paragraph() if node.tag != "li" else page.end_line()
-            page.block(_list(child))
-            page.paragraph() if node.tag != "li" else page.end_line()
-        elif tag in ("pre", "xmp", "textarea"):
-            page.paragraph()
-            page.block(_plain(child).strip("\n").split("\n") if _plain(child).strip() else [])
-            page.paragraph()
-        elif tag == "blockquote" or tag == "dd":
-            page.paragraph() if tag != "dd" else page.end_line()
-            page.block(["  " + x if x else x for x in _lines(child)])
-            page.paragraph() if tag != "dd" else page.end_line()
+            continue
+        if tag in ("pre", "xmp", "textarea"):
+            around, text = page.paragraph, _plain(child)
+            inner = text.strip("\n").split("\n") if text.strip() else []
         elif tag == "img":
-            alt = _attribute(child, "alt")
-            if alt and alt.strip():
-                page.text(unescape(alt))
+            page.text(unescape(_attribute(child, "alt") or ""))
+            continue
         elif tag == "input":
             page.text(unescape(_attribute(child, "value") or ""))
+            continue
+        elif tag in ("ul", "ol", "menu"):
+            around = page.paragraph if parent.tag != "li" else page.end_line
+            inner = _list(child, level + 1) if level < LAYOUT_LEVELS else None
+        elif tag == "table":
+            around = page.paragraph
+            inner = _table(child, level + 1) if level < LAYOUT_LEVELS else None
+        elif tag in ("blockquote", "dd"):
+            around = page.paragraph if tag != "dd" else page.end_line
+            inner = ["  " + x if x else x for x in _lines(child, level + 1)] if level < LAYOUT_LEVELS else None
         elif tag in PARAGRAPHS:
-            page.paragraph()
-            _walk(child, page)
-            page.paragraph()
+            around = page.paragraph
         elif tag in BLOCKS:
-            page.end_line()
-            _walk(child, page)
-            page.end_line()
-        elif tag in ("td", "th"):
-            page.space = True
-            _walk(child, page)
-            page.space = True
+            around = page.end_line
+        elif tag in ("td", "th", "text"):
+            around = page.gap
+        around()
+        if inner is None:
+            stack.append((child, iter(child.children), around))
         else:
-            _walk(child, page)
+            page.block(inner)
+            around()
 
 
 def _plain(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else _plain(c) if _shown(c) else "" for c in node.children)
+    out, stack = [], [iter(node.children)]
+    while stack:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+        elif isinstance(child, str):
+            out.append(child)
+        elif child.tag == "br":
+            out.append("\n")
+        elif _shown(child):
+            stack.append(iter(child.children))
+    return "".join(out)
 
 
-def _lines(node: Node) -> list[str]:
+def _lines(node: Node, level: int = 0) -> list[str]:
     page = _Page()
-    _walk(node, page)
+    _walk(node, page, level)
     page.end_line()
     return page.lines
 
