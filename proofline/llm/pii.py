@@ -1,8 +1,8 @@
 """Personal data in texts (native: DataFrame functions only).
 
 Regular expressions propose spans, checksums confirm them (Luhn for cards,
-mod 97 for account numbers, ranges and counts for the rest), and words just
-before a span adjust its score.
+mod 97 for account numbers, ranges and counts for the rest), and whole words near
+a span, on either side, raise or lower its score.
 
 Spans are in code points, end exclusive. The patterns are written so that each
 start is tried once: a start inside a run of the same characters could only
@@ -33,16 +33,17 @@ _ACCOUNT = "|".join(
     + [rf"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+[A-Za-z0-9]?+"]
 )
 
-#: kind: pattern, score of a confirmed span, words that raise it.
+#: kind: pattern, score of a confirmed span, words that raise it, words that lower it.
 KINDS = {
-    "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.7, "mail|contact|write|kontakt|correo|courriel"),
-    "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", 0.5, "ip|address|host|server|adresse"),
-    "card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){15,18}+(?![\x20-]?[0-9])", 0.6, "card|visa|master|credit|karte|carte|tarjeta"),
-    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.5, "phone|tel|call|mobile|fax|ruf"),
-    "iban": (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=({_ACCOUNT}))[A-Z]{{2}}[0-9]{{2}}", 0.8, "iban|bank|account|konto|compte|cuenta"),
+    "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.7, "e?mails?|contacts?|write|reach|kontakt|correo|courriel", "example|sample|beispiel|ejemplo|exemple"),
+    "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", 0.5, "ip|ipv4|address|host|server|login|logged|adresse", "version|release|section|chapter|build|kapitel"),
+    "card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){15,18}+(?![\x20-]?[0-9])", 0.6, "cards?|visa|mastercard|master|credit|debit|karte|kreditkarte|carte|tarjeta", "order|invoice|tracking|isbn|serial|part|bestellung|pedido|commande"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.5, "phone|telephone|tel|call|mobile|cell|fax|rufen|telefon|teléfono|téléphone", "order|invoice|score|sum|total|serial"),
+    "iban": (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=({_ACCOUNT}))[A-Z]{{2}}[0-9]{{2}}", 0.8, "iban|bank|account|transfer|konto|compte|cuenta", "serial|order|part|tracking"),
 }
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.25
+CONTEXT_MALUS = 0.2
 BLOCK = 256
 _BYTE_PART = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
@@ -105,13 +106,15 @@ def _spans(kind: str, body: Column, ends: Column, matches: Column) -> Column:
     An account number is longer than its match, so that one number, or what
     looks like one, doesn't hide another that starts within it.
     """
-    _, base, words = KINDS[kind]
+    _, base, raising, lowering = KINDS[kind]
 
     def span(pair: Column) -> Column:
         value, start = pair["value"], pair["start"]
         end = start + F.length(value)
-        near = F.lower(F.substring(body, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))))
-        score = F.lit(base) + F.when(near.rlike(words), CONTEXT_BONUS).otherwise(0.0)
+        before = F.substring(body, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
+        near = F.lower(F.concat(before, F.lit(" | "), F.substring(body, end + 1, F.lit(CONTEXT_CHARS))))
+        has = lambda words: near.rlike(rf"(?<!\p{{L}})(?:{words})(?!\p{{L}})")
+        score = F.lit(base) + F.when(has(raising), CONTEXT_BONUS).otherwise(0.0) - F.when(has(lowering), CONTEXT_MALUS).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"), score.alias("score"))
 
     pairs = F.zip_with(ends, matches, lambda end, m: F.struct((end - F.length(m)).alias("start"), m.alias("value")))
@@ -128,11 +131,11 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
     """
     body = "_pii_text"
     df = docs.withColumn(body, text_or_empty(F.col(f"`{text}`")))
-    df = df.withColumns({f"_pii_m_{k}": F.regexp_extract_all(F.col(body), F.lit(p), F.lit(0)) for k, (p, _, _) in KINDS.items()})
+    df = df.withColumns({f"_pii_m_{k}": F.regexp_extract_all(F.col(body), F.lit(p), F.lit(0)) for k, (p, *_) in KINDS.items()})
     df = df.withColumns({
         f"_pii_w_{k}": F.when(F.size(f"_pii_m_{k}") > 0, F.zip_with(
             F.slice(F.split(F.col(body), p, -1), F.lit(1), F.size(f"_pii_m_{k}")), F.col(f"_pii_m_{k}"), lambda gap, m: F.length(gap) + F.length(m)))
-        for k, (p, _, _) in KINDS.items()
+        for k, (p, *_) in KINDS.items()
     })
     df = df.withColumns({f"_pii_e_{k}": F.when(F.col(f"_pii_w_{k}").isNotNull(), _ends(F.col(f"_pii_w_{k}"))) for k in KINDS})
     found = {k: F.when(F.col(f"_pii_e_{k}").isNotNull(), _spans(k, F.col(body), F.col(f"_pii_e_{k}"), F.col(f"_pii_m_{k}"))) for k in KINDS}
