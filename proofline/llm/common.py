@@ -89,8 +89,3 @@ def word_count(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def buckets_for(rows: int, rows_per_bucket: int) -> int:
-    """Into how many parts a hot group is split; grows with the input."""
-    return max(16, -(-rows // rows_per_bucket))

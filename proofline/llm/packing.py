@@ -7,8 +7,8 @@ sequences in a row); its size depends on ``room`` alone. Then each piece takes
 its slot by its rank within its length.
 
 Ranks are found in two steps, as one length may hold a third of all pieces:
-pieces are dealt into buckets within a length, the buckets' sizes are summed,
-and each piece is numbered within its bucket.
+the pieces of a length are dealt into as many buckets as their count asks, the
+buckets' sizes are summed, and each piece is numbered within its bucket.
 
 Defined results: a null text counts as empty and has the end id alone; rows
 that repeat a doc_id are packed each; an empty table gives no rows.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.llm.common import buckets_for, cut, small_batches
+from proofline.llm.common import cut, small_batches
 from proofline.llm.tokens import default_path, encoder, slices
 
 ROOM = 2048
@@ -111,10 +111,12 @@ def token_pieces(docs: DataFrame, path: str | None = None, room: int = ROOM, end
 def pack(pieces: DataFrame, room: int = ROOM, pieces_per_bucket: int = PIECES_PER_BUCKET) -> DataFrame:
     """``pieces`` (doc_id, piece, length, any more) with sequence_id and offset."""
     pieces = cut(pieces)
-    parts = buckets_for(pieces.count(), pieces_per_bucket)
-    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
-    sizes = cut(pieces.groupBy("length", "_bucket").agg(F.count("*").alias("_n")))
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most ``room`` rows
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``room`` rows
+    many = np.zeros(room + 1, np.int64)
+    many[list(counts)] = [-(-n // pieces_per_bucket) for n in counts.values()]
+    buckets = F.element_at(F.lit(many.tolist()), F.col("length").cast("int") + 1)
+    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), buckets))
+    sizes = pieces.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
