@@ -108,9 +108,13 @@ class TokenFile:
         return out
 
     def scan(self) -> np.ndarray:
-        """All ids in order. Those that go on from a level stand in order in the next, so no rank is looked up."""
+        """All ids in order. Those that go on from a level stand in order in the next, so
+        no rank is looked up; instead every rank directory is held against its bitmap."""
         out, at = self._chunks[0].astype("<u4"), np.arange(self.n_ids)
         for level, bits in enumerate(self._bits):
+            before = np.concatenate(([0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)))[:-1]
+            if not np.array_equal(before[:: RANK_BITS // 64], self._ranks[level]):
+                raise ValueError("a rank directory is damaged")
             at = at[np.unpackbits(bits.view("u1"), count=len(at), bitorder="little").view(bool)]
             out[at] |= self._chunks[level + 1].astype("<u4") << np.uint32(8 * (level + 1))
         return out
