@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values.
 INJECTION_PATTERNS = (
@@ -14,6 +18,9 @@ INJECTION_PATTERNS = (
     r"(?i)\b(?:follow| obey)\s+(?:these|the following)\s+instructions\b",
 )
 
+AMOUNT = r"^(?:(?:inr|rs\.?)\s*)?([0-9]+(?:\.[0-9]+)?)\s*(crore|crores|cr|lakh|lakhs|million|billion|percent|%)?\s*(?:inr)?$"
+FACTORS = {"crore": 1e7, "crores": 1e7, "cr": 1e7, "lakh": 1e5, "lakhs": 1e5, "million": 1e6, "billion": 1e9}
+
 
 def legal_name_key(name: Column) -> Column:
     """A name's comparison key: short company forms spelled out, anything but a-z and 0-9 a space."""
@@ -57,8 +64,41 @@ def isin_valid(code: Column) -> Column:
     return F.call_function("luhn_check", F.array_join(spelled, ""))
 
 
+@F.pandas_udf(StringType())
+def _unicode_folded(text: pd.Series) -> pd.Series:
+    return text.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).casefold().split()))
+
+
+def folded(text: Column) -> Column:
+    """Compatible characters made one, no case, single spaces. Only texts beyond ASCII go to Python."""
+    plain = text.rlike(r"^[\x00-\x7f]*$")
+    return F.when(plain, F.lower(collapsed(text))).otherwise(_unicode_folded(F.when(~plain, text)))
+
+
 def period_key(period: Column) -> Column:
-    return F.replace(F.lower(collapsed(F.coalesce(period, F.lit("")))), F.lit("/"), F.lit("-"))
+    return F.replace(folded(F.coalesce(period, F.lit(""))), F.lit("/"), F.lit("-"))
+
+
+def assertion_key(value: Column) -> Column:
+    """What a stated value says: amounts by number, whatever their unit and currency mark, shares by percent, else the text."""
+    text = F.replace(folded(value), F.lit("\u20b9"), F.lit("inr "))
+    amount, unit = F.regexp_extract(text, AMOUNT, 1), F.regexp_extract(text, AMOUNT, 2)
+    factor = F.coalesce(F.create_map(*[F.lit(x) for pair in FACTORS.items() for x in pair])[unit], F.lit(1.0))
+    number = F.format_string("%.5e", F.when(amount != "", amount).otherwise("0").cast("double") * factor)
+    kind = F.when(unit.isin("percent", "%"), "percent:").otherwise("number:")
+    words = F.replace(F.replace(text, F.lit("rs. "), F.lit("inr ")), F.lit("rs "), F.lit("inr "))
+    return F.when(amount != "", F.concat(kind, number)).otherwise(words)
+
+
+def tuple_text(*parts: Column) -> Column:
+    """``('a', 'b')`` as identifiers made elsewhere spell a tuple of printable texts."""
+
+    def quoted(c: Column) -> Column:
+        c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+        double = c.contains("'") & ~c.contains('"')
+        return F.when(double, F.concat(F.lit('"'), c, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+    return F.concat(F.lit("("), F.concat_ws(", ", *map(quoted, parts)), F.lit(")"))
 
 
 def uuid5(namespace: str, name: Column) -> Column:
