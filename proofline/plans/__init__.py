@@ -1,9 +1,9 @@
 """Registered queries of the evidence operators, and the SQL that checks them."""
 
-from proofline.plans import matching, queries, verification, web
+from proofline.plans import candidates, matching, queries, verification, web
 
 QUERIES = queries.QUERIES | matching.QUERIES
 ORACLE_SQL = queries.ORACLE_SQL | matching.ORACLE_SQL
-for _module in (web, verification):
+for _module in (web, verification, candidates):
     QUERIES |= _module.query.queries
     ORACLE_SQL |= _module.query.sql
