@@ -1,9 +1,9 @@
 """Registered queries of the evidence operators, and the SQL that checks them."""
 
-from proofline.plans import candidates, matching, queries, rules, verification, web
+from proofline.plans import candidates, matching, queries, rules, sources, state, verification, web
 
 QUERIES = queries.QUERIES | matching.QUERIES
 ORACLE_SQL = queries.ORACLE_SQL | matching.ORACLE_SQL
-for _module in (web, verification, candidates, rules):
+for _module in (web, verification, candidates, rules, state, sources):
     QUERIES |= _module.query.queries
     ORACLE_SQL |= _module.query.sql
