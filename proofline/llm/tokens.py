@@ -12,10 +12,13 @@ whole. Either way the ids are those of ``encode(text, add_special_tokens=False)`
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from collections.abc import Sequence
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 
@@ -43,6 +46,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
+        if hasattr(self._library.model, "_resize_cache"):
+            self._library.model._resize_cache(0)  # units come to the library once, so its own memory of words only costs time
         spec = json.load(open(path, encoding="utf-8"))
         pre = spec.get("pre_tokenizer") or {}
         self._by_unit = all(pre.get(k) == v for k, v in _BYTE_LEVEL.items()) and not any(spec.get(k) for k in ("normalizer", "post_processor", "truncation", "padding"))
@@ -76,6 +81,15 @@ class Encoder:
         self._new.update(zip(joined, [ids[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        collecting = gc.isenabled()
+        gc.disable()  # long lists of texts hold no cycles, and looking for some takes a tenth of the time
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: Sequence[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         whole, cut = [], []
         for k, text in enumerate(texts):
@@ -84,17 +98,26 @@ class Encoder:
                 (cut if usual and not any(s in text for s in self._special) else whole).append(k)
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
             out[k] = ids
-        split = {k: _UNIT.findall(texts[k]) for k in cut}
-        needed = set().union(*split.values()) if split else set()
         if len(self._new) > _KEPT_UNITS:
             self._old, self._new = self._new, {}
-        new, old = self._new, self._old
-        missing = needed.difference(new)
+        new, old, find = self._new, self._old, _UNIT.findall
+        begun, missing = [], set()
+        for k in cut:
+            units = find(texts[k])
+            ids = list(map(new.get, units))
+            if None in ids:  # units not seen yet, and only those, are looked up again
+                gaps = list(compress(range(len(ids)), map(is_, ids, repeat(None))))
+                lacking = [units[j] for j in gaps]
+                missing.update(lacking)
+                begun.append((k, ids, gaps, lacking))
+            else:
+                out[k] = b"".join(ids)
         new.update([(u, old[u]) for u in missing if u in old] if old else ())
         self._learn(missing.difference(new))
-        get = self._new.__getitem__
-        for k, units in split.items():
-            out[k] = b"".join(map(get, units))
+        for k, ids, gaps, lacking in begun:
+            for j, unit in zip(gaps, lacking, strict=True):
+                ids[j] = new[unit]
+            out[k] = b"".join(ids)
         return out
 
 
