@@ -30,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def cut_sized(df: DataFrame, rows_per_part: int) -> tuple[DataFrame, int]:
+    """``cut(df)`` in as few partitions as its rows ask, and their number.
+
+    Small results of wide shuffles otherwise stay in as many partitions, each a
+    task of every step that follows.
+    """
+    held = cut(df)
+    rows = held.count()
+    return held.coalesce(max(1, -(-rows // rows_per_part))), rows
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files and checkpoints of frames that are gone.
 

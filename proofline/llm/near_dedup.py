@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.llm.common import cut, release, small_batches
-from proofline.llm.components import connected_components
+from proofline.llm.components import bounded, connected_components
 from proofline.llm.shingles import mix, overlap, shingle_sets
 from proofline.llm.tokens import slices
 
@@ -219,7 +219,7 @@ def _blocks(rows: DataFrame, out_block: int, all_block: int, parts: int, weight:
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return cut(members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    return cut(members.join(bounded(labels), "id", "left").withColumn("component", F.coalesce("component", "id")))
 
 
 def _by_sketches(members: DataFrame, best: int | None, parts: int) -> DataFrame:

@@ -52,3 +52,17 @@ def test_labels_are_joined(spark):
     more = [(2, 4), (6, 0), (20, 21), (9, 9)]
     assert found(spark, more, labels=labels) == brute(first + more)
     assert found(spark, [], labels=labels) == brute(first)
+
+
+def test_beyond_a_block(spark, monkeypatch):
+    """Phases, and joins without broadcast, as for graphs of more than a block."""
+    from proofline.llm import components
+
+    monkeypatch.setattr(components, "BLOCK", 40)
+    monkeypatch.setattr(components, "MOST_NAMES", 5)
+    draw = random.Random(3)
+    ids = draw.sample(range(-(10**9), 10**9), 900)
+    edges = list(zip(ids[:400], ids[1:400])) + [tuple(draw.sample(ids[400:], 2)) for _ in range(300)] + [(ids[0], x) for x in ids[850:]]
+    assert found(spark, edges, 5) == brute(edges)
+    labels = connected_components(spark.createDataFrame(edges[:350], "a long, b long"))
+    assert found(spark, edges[350:], labels=labels) == brute(edges)
