@@ -341,6 +341,22 @@ def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM d
+), n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY 1),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared.n >= 75 * (p.size + q.size - shared.n)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+least_id AS (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.size, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id, l.b IS NULL OR l.b >= d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_id l USING (doc_id)
+"""
+
+
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` of which one stays for each group, with all columns.
 

@@ -17,4 +17,4 @@ QUERIES = {
         packing.op10_packing,
     )
 }
-ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op9_warc": warc.OP9_SQL}
+ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op8_near_dedup": near_dedup.OP8_SQL, "op9_warc": warc.OP9_SQL}
