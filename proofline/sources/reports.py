@@ -113,9 +113,8 @@ def report_lines(traced: DataFrame, tests: DataFrame) -> DataFrame:
     plain = lambda v: F.replace(F.replace(v, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
     counts = traced.agg(F.count("*").alias("Requirements"), *[F.count_if(c("status") == s).alias(s) for s in STATUSES])
     cases = tests.agg(F.count("*").alias("Test cases"), F.count_if(F.size("tags") > 0).alias("Tagged test cases"))
-    both = counts.crossJoin(cases)  # one row each
-    names = ["Requirements", *STATUSES, "Test cases", "Tagged test cases"]
-    summary = both.select(F.posexplode(F.array(*[F.concat(F.lit(f"| {n} | "), c(f"`{n}`"), F.lit(" |")) for n in names])).alias("k", "line")).select(F.concat(F.lit("1-"), F.lpad(c("k").cast("string"), 3, "0")).alias("ord"), "line")
+    lines = lambda df, names, start: df.select(F.posexplode(F.array(*[F.concat(F.lit(f"| {n} | "), c(f"`{n}`"), F.lit(" |")) for n in names])).alias("k", "line")).select(F.concat(F.lit("1-"), F.lpad((c("k") + start).cast("string"), 3, "0")).alias("ord"), "line")
+    summary = lines(counts, ["Requirements", *STATUSES], 0).unionByName(lines(cases, ["Test cases", "Tagged test cases"], 1 + len(STATUSES)))
     verified = traced.filter("status = 'Verified'").select(F.concat(F.lit("2-"), "requirement_id").alias("ord"), F.concat(F.lit("| "), "requirement_id", F.lit(" | "), "tag", F.lit(" | "), plain(F.array_join("labels", "; ")), F.lit(" |")).alias("line"))
     passing = tests.filter("passed").select(F.explode("tags").alias("tag"), "label").groupBy("tag").agg(F.count_distinct("label").alias("n"))
     passing = passing.select(F.concat(F.lit("3-"), "tag").alias("ord"), F.concat(F.lit("| "), "tag", F.lit(" | "), "n", F.lit(" |")).alias("line"))
