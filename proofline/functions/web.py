@@ -129,9 +129,8 @@ def _quoted(text: Column) -> Column:
     return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def crawl_url(url: Column, tracking: tuple[str, ...]) -> Column:
-    """struct(url, code): the canonical URL without the query keys that only track; keys and values are encoded anew."""
-    c = canonical_url(url)
+def crawl_url(c: Column, tracking: tuple[str, ...]) -> Column:
+    """struct(url, code): a canonical URL (a column of ``canonical_url``) without the query keys that only track; keys and values are encoded anew."""
     head, query = F.split_part(c["url"], F.lit("?"), F.lit(1)), F.regexp_extract(c["url"], r"(?s)\?(.*)$", 1)
     pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(
         F.try_url_decode(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), F.try_url_decode(F.regexp_extract(p, "(?s)=(.*)$", 1)).alias("v")))

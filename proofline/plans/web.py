@@ -38,7 +38,8 @@ def canonical_urls(spark, d):
 @query(_PARTS + r""", q AS (SELECT *, list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(url_decode(split_part(x, '=', 1))), '^(utm_.*|fbclid|gclid|mc_cid|mc_eid)$')) AS kept FROM r)
 SELECT page_id, CASE WHEN code IS NULL THEN scheme || '://' || host || place || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(list_transform(kept, lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END), '&') END END AS url, code FROM q""")
 def crawl_urls(spark, d):
-    return carried(spark, d, _URLS).select("page_id", W.crawl_url(F.col("url"), U.TRACKING_KEYS).alias("c")).select("page_id", "c.url", "c.code")
+    rows = carried(spark, d, _URLS).withColumn("canonical", W.canonical_url(F.col("url")))
+    return rows.select("page_id", W.crawl_url(F.col("canonical"), U.TRACKING_KEYS).alias("c")).select("page_id", "c.url", "c.code")
 
 
 @query(_PARTS + """SELECT page_id, CASE WHEN scheme IN ('http', 'https') AND raw_host <> '' AND NOT has_user AND (port = '' OR port = own_port) THEN scheme || '://' || host || CASE WHEN port = '' THEN '' ELSE ':' || port END || place || asked END AS found,
