@@ -470,7 +470,7 @@ def test_warc_round_trip(spark, monkeypatch):
 
 def test_warc_damage(spark, tmp_path):
     sha = hashlib.sha1(b"q" * 90_000).hexdigest()
-    parts = warc.page_records(5, "u", b"q" * 90_000, sha, "response", None, "n")
+    parts = warc.page_records(5, "u", b"q" * 90_000, sha, None, None, "n")
     assert len(parts) == 3
     for name, kept in (("whole", [parts[2], parts[0], parts[1]]), ("torn", parts[:2]), ("gap", [parts[0], parts[2]])):
         path = tmp_path / name
