@@ -10,7 +10,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -106,7 +106,17 @@ def _query_keys(query: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """struct(url, host, code): the URL to fetch, without fragment, or why it may not be fetched."""
     p = url_parts(url)
-    host = _host_of(p["host"])
+    return _canonical(url, p, _host_of(p["host"]))
+
+
+def with_canonical(df: DataFrame, url: str = "url", out: str = "canonical") -> DataFrame:
+    """``df`` with ``canonical_url`` in a column; parts and host are computed once, in steps of their own."""
+    df = df.withColumn("_parts", url_parts(F.col(url)))
+    df = df.withColumn("_host", _host_of(F.col("_parts.host")))
+    return df.withColumn(out, _canonical(F.col(url), F.col("_parts"), F.col("_host"))).drop("_parts", "_host")
+
+
+def _canonical(url: Column, p: Column, host: Column) -> Column:
     wanted = _default_port(p)
     code = _first(
         (malformed(p), "malformed_url"),

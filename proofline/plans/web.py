@@ -32,13 +32,13 @@ r AS (SELECT *, CASE WHEN port <> '' AND port::BIGINT > 65535 THEN 'malformed_ur
 
 @query(_PARTS + "SELECT page_id, CASE WHEN code IS NULL THEN scheme || '://' || host || place || asked END AS url, CASE WHEN code IS NULL THEN host END AS host, code FROM r")
 def canonical_urls(spark, d):
-    return carried(spark, d, _URLS).select("page_id", W.canonical_url(F.col("url")).alias("c")).select("page_id", "c.url", "c.host", "c.code")
+    return W.with_canonical(carried(spark, d, _URLS)).select("page_id", "canonical.url", "canonical.host", "canonical.code")
 
 
 @query(_PARTS + r""", q AS (SELECT *, list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(url_decode(split_part(x, '=', 1))), '^(utm_.*|fbclid|gclid|mc_cid|mc_eid)$')) AS kept FROM r)
 SELECT page_id, CASE WHEN code IS NULL THEN scheme || '://' || host || place || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(list_transform(kept, lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END), '&') END END AS url, code FROM q""")
 def crawl_urls(spark, d):
-    rows = carried(spark, d, _URLS).withColumn("canonical", W.canonical_url(F.col("url")))
+    rows = W.with_canonical(carried(spark, d, _URLS))
     return rows.select("page_id", W.crawl_url(F.col("canonical"), U.TRACKING_KEYS).alias("c")).select("page_id", "c.url", "c.code")
 
 
