@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from proofline.llm import ann, exact_dedup, fill_middle, html_text, langid, mixing, near_dedup, packing, pii, token_files, vector_codes, warc
+from proofline.llm import ann, exact_dedup, fill_middle, html_text, langid, mixing, near_dedup, packing, pii, pitman_yor, token_files, vector_codes, warc
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES = {
         warc.op9_warc,
         packing.op10_packing,
         fill_middle.op11_fill_in_middle,
+        pitman_yor.op12_lm_scores,
         vector_codes.op13_vector_codes,
     )
 }
