@@ -18,6 +18,7 @@ from proofline.functions import identifiers as I
 from proofline.functions.text import folded, legal_name_key, uuid5
 from proofline.functions.web import root_host
 from proofline.operators.scoring import WEIGHTS, score
+from proofline.operators.steps import Steps
 
 # Fixed values.
 CANDIDATES_NAMESPACE = "7c20b8e4-290f-5f26-848d-b49a73fe791d"
@@ -102,25 +103,30 @@ def ingested(answers: DataFrame, most: int = 20, per_query: int = 10) -> DataFra
     return rows.withColumn("place", place).filter("place > 0").drop("_held")
 
 
-def record_names(records: DataFrame) -> DataFrame:
-    """(cin, _key, present): keys of a record's present and former names."""
-    former = records.select("cin", F.explode("former_names").alias("_name"), F.lit(False).alias("present"))
-    names = records.select("cin", F.col("legal_name").alias("_name"), F.lit(True).alias("present")).unionByName(former)
-    return names.select("cin", legal_name_key(F.col("_name")).alias("_key"), "present").groupBy("cin", "_key").agg(F.bool_or("present").alias("present"))
+def handles(found: DataFrame, records: DataFrame) -> DataFrame:
+    """(request_id, cin, kind, key, present): by what each candidate of a request can be named.
+
+    Kinds: name (keys of present and former names) and cin. ``records`` is one a
+    cin, or, where it has a request_id, one for each candidate of each request:
+    what a request was told of a company doesn't speak in another request.
+    """
+    held = records if "request_id" in records.columns else found.select("request_id", "cin").distinct().join(records, "cin")
+    way = lambda kind, key, present: F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.lit(present).alias("present"))
+    former = F.transform(F.coalesce("former_names", F.array().cast("array<string>")), lambda n: way("name", legal_name_key(n), False))
+    every = F.concat(F.array(way("name", legal_name_key(F.col("legal_name")), True), way("cin", F.col("cin"), True)), former)
+    return held.select("request_id", "cin", F.explode(every).alias("_h")).groupBy("request_id", "cin", F.col("_h.kind").alias("kind"), F.col("_h.key").alias("key")).agg(F.bool_or("_h.present").alias("present"))
 
 
-def hinted(hints: DataFrame, found: DataFrame, records: DataFrame, most: int = 20) -> DataFrame:
+def hinted(hints: DataFrame, named: DataFrame, most: int = 20) -> DataFrame:
     """A row for each candidate (request_id, cin) that hints speak of: brand_names, related_reason, code.
 
-    A hint (request_id, ord, cin, name, brands, reason) fits a record if its
+    ``named`` comes from ``handles``. A hint (request_id, ord, cin, name, brands, reason) fits a record if its
     number and its name do, as far as it states them. Brands are united without
     case, first spelling kept; two different reasons are an error.
     """
-    pairs = hints.join(found.select("request_id", F.col("cin").alias("_cin")).distinct(), "request_id").filter("cin is null or cin = _cin")
-    names = record_names(records).select(F.col("cin").alias("_cin"), F.col("_key").alias("_name_key"))
-    pairs = pairs.withColumn("_name_key", legal_name_key(F.col("name")))
-    by_name = pairs.filter("name is not null").join(names, ["_cin", "_name_key"], "left_semi")
-    fits = by_name.unionByName(pairs.filter("name is null and cin is not null").select(by_name.columns))
+    key = F.coalesce(legal_name_key(F.col("name")), F.col("cin"))
+    asked = hints.withColumns({"kind": F.when(F.col("name").isNotNull(), "name").otherwise("cin"), "key": key})
+    fits = asked.join(named.select("request_id", F.col("cin").alias("_cin"), "kind", "key"), ["request_id", "kind", "key"]).filter("cin is null or cin = _cin")
     brands = fits.select("request_id", "_cin", "ord", F.posexplode_outer("brands").alias("_pos", "brand"))
     first = Window.partitionBy("request_id", "_cin", F.lower("brand")).orderBy("ord", "_pos")
     brands = brands.filter("brand is not null").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
@@ -167,37 +173,33 @@ def provider_evidence_id(provider: Column, by_name: Column, cin: Column, sentenc
     return uuid5(EVIDENCE_NAMESPACE, F.concat_ws("|", F.lit("provider"), provider, operation, cin, sentence))
 
 
-def site_facts(found: DataFrame, records: DataFrame, disclosures: DataFrame) -> DataFrame:
+def site_facts(named: DataFrame, records: DataFrame, disclosures: DataFrame) -> DataFrame:
     """(request_id, cin, fact, evidence_id) of what a company's own site says of each candidate.
 
+    ``named`` comes from ``handles``; ``records`` are (request_id, cin, state, summary).
     Facts: name (present), legal_page (present or former name), cin,
     address_match, address_conflict. Names and numbers meet by equi joins;
     addresses are held against the request's own candidates only.
     """
     said = disclosures.filter("controlled").withColumn("evidence_id", page_evidence_id(F.col("url"), F.col("content_hash"), F.col("kind"), F.col("value"), F.col("context")))
-    mine = found.select("request_id", "cin").distinct()
-    names = mine.join(record_names(records), "cin")
-    named = said.filter("kind = 'legal_name'").withColumn("_key", legal_name_key(F.col("value"))).join(names, ["request_id", "_key"])
-    facts = F.when(F.col("present"), F.array(F.lit("name"), F.lit("legal_page"))).otherwise(F.array(F.lit("legal_page")))
-    out = named.select("request_id", "cin", F.explode(facts).alias("fact"), "evidence_id")
-    numbered = said.filter("kind = 'cin'").withColumn("cin", F.upper("value")).join(mine, ["request_id", "cin"])
-    out = out.unionByName(numbered.select("request_id", "cin", F.lit("cin").alias("fact"), "evidence_id"))
-    offices = said.filter("kind = 'registered_office'").join(mine, "request_id").join(records.select("cin", "state", "summary"), "cin")
+    kind = F.when(F.col("kind") == "legal_name", "name").when(F.col("kind") == "cin", "cin")
+    key = F.when(F.col("kind") == "cin", F.upper("value")).otherwise(legal_name_key(F.col("value")))
+    asked = said.select("request_id", "evidence_id", kind.alias("kind"), key.alias("key")).filter("kind is not null")
+    facts = F.when(F.col("kind") == "cin", F.array(F.lit("cin"))).when(F.col("present"), F.array(F.lit("name"), F.lit("legal_page"))).otherwise(F.array(F.lit("legal_page")))
+    out = asked.join(named, ["request_id", "kind", "key"]).select("request_id", "cin", F.explode(facts).alias("fact"), "evidence_id")
+    offices = said.filter("kind = 'registered_office'").select("request_id", "value", "evidence_id").join(records.select("request_id", "cin", "state", "summary"), "request_id")
     match = I.addresses_match(F.col("value"), F.col("summary"), F.col("state"), STOP_WORDS)
     fact = F.when(match, "address_match").when(state_conflict(F.col("value"), F.col("state")), "address_conflict")
     out = out.unionByName(offices.select("request_id", "cin", fact.alias("fact"), "evidence_id").filter("fact is not null"))
     return out.distinct()
 
 
-def signal_facts(signals: DataFrame, found: DataFrame, records: DataFrame) -> DataFrame:
+def signal_facts(named: DataFrame, signals: DataFrame) -> DataFrame:
     """(request_id, cin, fact, evidence_id): each signal's factor for the candidates that it names, by number or else by name."""
-    mine = found.select("request_id", "cin").distinct()
     factor = F.create_map(*[F.lit(x) for pair in SIGNAL_FACTORS.items() for x in pair])[F.col("kind")]
-    given = signals.select("request_id", "cin", "name", factor.alias("fact"), "evidence_id")
-    by_cin = given.filter("cin is not null").join(mine, ["request_id", "cin"]).select("request_id", "cin", "fact", "evidence_id")
-    names = mine.join(record_names(records).select("cin", "_key"), "cin")
-    by_name = given.filter("cin is null").withColumn("_key", legal_name_key(F.col("name"))).drop("cin").join(names, ["request_id", "_key"]).select("request_id", "cin", "fact", "evidence_id")
-    return by_cin.unionByName(by_name).distinct()
+    kind = F.when(F.col("cin").isNotNull(), "cin").otherwise("name")
+    given = signals.select("request_id", factor.alias("fact"), "evidence_id", kind.alias("kind"), F.coalesce("cin", legal_name_key(F.col("name"))).alias("key"))
+    return given.join(named, ["request_id", "kind", "key"]).select("request_id", "cin", "fact", "evidence_id").distinct()
 
 
 def provider_facts(found: DataFrame, records: DataFrame, provider: str) -> DataFrame:
@@ -235,17 +237,20 @@ def generate(requests: DataFrame, disclosures: DataFrame, answers: DataFrame, re
     request_id, cin, legal_name, former_names, company_class, listed, domain,
     facts (one boolean each), positive_total, negative_total, score, label,
     conflicts, brand_names, related_reason, evidence (ids by factor), code, rank. A
-    request without candidates has no row: it needs a name or a number.
+    request without candidates has no row: it needs a name or a number. Answers, merged
+    records and names are written once, as each is read several times.
     """
-    found = ingested(answers, most)
+    steps = Steps(requests.sparkSession, "candidates")
+    found = steps.write(ingested(answers, most), "found")
     merged = merged_records(found, records)
     wanted = requests.select("request_id", state_key(F.col("state")).alias("_wanted"), F.col("root_url"))
     merged = merged.join(wanted, "request_id").filter(F.col("_wanted").isNull() | (state_key(F.col("state")) == F.col("_wanted")))
-    own = merged.select("cin", "legal_name", "former_names", "state", "summary").dropDuplicates(["cin"])
-    said = site_facts(merged, own, disclosures)
-    told = signal_facts(signals, merged, own)
+    merged = steps.write(merged, "merged")
+    named = steps.write(handles(merged, merged), "handles")
+    said = site_facts(named, merged, disclosures)
+    told = signal_facts(named, signals)
     facts = said.unionByName(told).unionByName(provider_facts(found, records, provider)).groupBy("request_id", "cin").agg(F.collect_set("fact").alias("_facts"), F.collect_set(F.struct("fact", "evidence_id")).alias("_ids"))
-    df = merged.join(facts, ["request_id", "cin"], "left").join(hinted(hints, merged, own), ["request_id", "cin"], "left")
+    df = merged.join(facts, ["request_id", "cin"], "left").join(hinted(hints, named), ["request_id", "cin"], "left")
     has = lambda f: F.coalesce(F.array_contains("_facts", f), F.lit(False))
     exact = has("name") & has("cin")
     signalled = {f: has(f) for f in SIGNAL_FACTORS.values()}

@@ -5,7 +5,8 @@ contradictions and their resolution. Claims: job_id, claim_id, ord, subject,
 predicate, period, object, evidence_ids, is_material, freshness. Evidence:
 job_id, evidence_id, source_tier, published, suspected. All joins are within a
 job, so rows are partitioned by it. Where both have an entity_id, evidence on
-another entity than the claim's is a reason too; a null one fits any.
+another entity than the claim's is a reason too; a null one fits any. A null list of evidence is an
+empty one.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def verified(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     rules = {
         "evidence_reference_unknown": F.col("n_unknown") > 0,
         "evidence_entity_mismatch": F.col("n_other") > 0,
-        "material_claim_without_evidence": material & (F.size("evidence_ids") <= 0),
+        "material_claim_without_evidence": material & (F.coalesce(F.size("evidence_ids"), F.lit(0)) == 0),
         "claim_stale": F.col("freshness") == "stale",
         "all_supporting_evidence_prompt_suspected": some & (F.col("n_suspected") == F.col("n_known")),
         "material_claim_source_too_weak": material & some & (F.col("n_weak") == F.col("n_known")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofline.operators import candidates as K
+from proofline.operators.steps import Steps
 from proofline.plans.common import Registry, carried, plain
 
 query = Registry()
@@ -83,8 +84,11 @@ told AS (SELECT DISTINCT s.request_id, m.cin, CASE s.kind """ + " ".join(f"WHEN
 
 @query(_FACTS + "SELECT * FROM said_facts UNION ALL SELECT * FROM told")
 def candidate_facts(spark, d):
-    found, records = _found(spark, d), _records(spark, d)
-    return K.site_facts(found, records, carried(spark, d, _SITE)).unionByName(K.signal_facts(carried(spark, d, _SIGNALS), found, records))
+    mine = _found(spark, d).select("request_id", "cin").distinct().join(_records(spark, d), "cin")
+    steps = Steps(spark, "candidate-facts")
+    mine = steps.write(mine, "records")
+    named = steps.write(K.handles(mine, mine), "handles")
+    return K.site_facts(named, mine, carried(spark, d, _SITE)).unionByName(K.signal_facts(named, carried(spark, d, _SIGNALS)))
 
 
 _HINTED = _FACTS + f""", fit AS (SELECT h.request_id, m.cin, h.ord, h.one, h.two, h.reason FROM hint h JOIN m USING (request_id) WHERE (h.cin IS NOT NULL OR h.name IS NOT NULL) AND (h.cin IS NULL OR h.cin = m.cin) AND (h.name IS NULL OR EXISTS (SELECT 1 FROM nm WHERE nm.cin = m.cin AND nm.key = {_NAME.format('h.name')}))),
@@ -96,7 +100,7 @@ hinted AS (SELECT request_id, cin, b.brand_names, x.related_reason, CASE WHEN x.
 
 @query(_HINTED + "SELECT request_id, cin, array_to_string(brand_names, ',') AS brand_names, related_reason, code FROM hinted")
 def relationship_hints(spark, d):
-    out = K.hinted(_hints(spark, d), _found(spark, d), _records(spark, d))
+    out = K.hinted(_hints(spark, d), K.handles(_found(spark, d), _records(spark, d)))
     return out.withColumn("brand_names", F.array_join("brand_names", ","))
 
 
@@ -126,6 +130,22 @@ def candidate_generation(spark, d):
     )
 
 
+_BRANCHES = f"""SELECT {_KEY} AS cin, i AS query_no, name || ' Branch ' || i || ' Private Limited' AS legal_name, CASE WHEN i = 3 THEN name || ' Branch 1 Ltd' END AS former, 'Private' AS company_type, 'Active' AS status, true AS active, false AS listed, 'Goa' AS state, '' AS summary
+  FROM (SELECT c_custkey AS k, c_name AS name FROM {{customer}}) AS c CROSS JOIN (SELECT CAST(r_regionkey AS BIGINT) AS i FROM {{region}}) AS r"""
+_BRANCH_SITE = """SELECT c_custkey AS request_id, 0 AS page_no, 0 AS ord, 'https://site.example.com/' AS url, 'h' AS content_hash, true AS controlled, 'legal_name' AS kind, c_name || ' BRANCH ' || (c_custkey % 4) || ' Pvt. Ltd.' AS value, 'context' AS context FROM {customer}"""
+
+
+@query(_WALK + ", rec AS (" + plain(_BRANCHES) + "), site AS (" + plain(_BRANCH_SITE) + f"""), m AS (SELECT request_id, cin, min(query_no) AS query_no FROM f GROUP BY 1, 2)
+SELECT m.request_id, m.cin, rec.legal_name, {_NAME.format('rec.legal_name')} = {_NAME.format('site.value')} AS company_controlled_legal_page FROM m JOIN rec USING (cin, query_no) JOIN site USING (request_id)""")
+def answered_names(spark, d):
+    """One register number under different names in the answers to different queries: each request holds to its own."""
+    none = carried(spark, d, _SIGNALS).limit(0)
+    records = carried(spark, d, _BRANCHES).withColumn("former_names", F.when(F.col("former").isNotNull(), F.array("former"))).drop("former")
+    requests = carried(spark, d, _REQUESTS).withColumn("state", F.lit(None).cast("string"))
+    out = K.generate(requests, carried(spark, d, _BRANCH_SITE), carried(spark, d, _ANSWERS), records, none, _hints(spark, d).limit(0))
+    return out.select("request_id", "cin", "legal_name", "company_controlled_legal_page")
+
+
 @query("WITH r AS (" + plain(_RECORDS) + f"""), h AS (SELECT *, sha1(unhex('7c20b8e4290f5f26848db49a73fe791d') || encode('q' || k || '|' || cin || '|' || {_NAME.format('legal_name')} || '|' || coalesce(state, ''))) AS s FROM r)
 SELECT cin, {_UUID.format('s')} AS candidate_id, CASE k % 3 WHEN 0 THEN 'https://a.example/s' WHEN 1 THEN 'https://a.example/m' END AS url FROM h""")
 def candidate_ids(spark, d):
