@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from proofline.operators.sequential import Queue
@@ -39,6 +40,21 @@ def queue_stream(commands: DataFrame) -> DataFrame:
     return rows.groupBy("queue").applyInPandasWithState(_advance, OUTPUT, "messages string", "append", "NoTimeout")
 
 
-def outbox_relay(entries: DataFrame, key: str = "idempotency_key") -> DataFrame:
-    """Entries to dispatch from a stream of an outbox's rows: each key once."""
-    return entries.dropDuplicates([key])
+def outbox_relay(entries: DataFrame, key: str = "idempotency_key", at: str | None = None, delay: str = "1 day", dispatched: DataFrame | None = None) -> DataFrame:
+    """Entries to dispatch from a stream of an outbox's rows: each key once within ``delay`` of ``at`` (or of its arrival).
+
+    Keys older than the watermark leave the state. Rows that come later than that aren't
+    sent by the stream, nor are keys of ``dispatched``, a table; ``undispatched`` finds what the stream has passed by.
+    """
+    if dispatched is not None:
+        entries = entries.join(dispatched.select(key).distinct(), key, "left_anti")
+    time = at or "_arrived"
+    rows = entries if at else entries.withColumn(time, F.current_timestamp())
+    rows = rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    return rows if at else rows.drop(time)
+
+
+def undispatched(entries: DataFrame, dispatched: DataFrame, key: str = "idempotency_key", order: str = "id") -> DataFrame:
+    """Of a table of entries, the first of each key that was never sent."""
+    first = entries.groupBy(key).agg(F.min_by(F.struct(*entries.columns), order).alias("_first")).select("_first.*")
+    return first.join(dispatched.select(key).distinct(), key, "left_anti")
