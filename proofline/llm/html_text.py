@@ -3,14 +3,16 @@
 A tolerant tree builder closes what HTML lets authors leave open (paragraphs,
 list items, table cells and the like) and ignores stray end tags. Rendering
 walks the tree: what is not shown (the elements ``UNSEEN``, hidden elements and
-styles) is left out, everything else is kept, at any depth. Blocks start on lines
+styles) is left out, everything else is kept, at any depth; what ``visibility``
+hides can be shown again by an element within. Blocks start on lines
 of their own, paragraphs and headings stand between blank lines, list items carry
-bullets or numbers and are indented, table columns are aligned, ``pre`` keeps its
-spaces.
+bullets or numbers and are indented, table columns are aligned (also below cells
+that reach down), ``pre`` keeps its spaces.
 
-Layout has two bounds, which no text is lost by: lists, tables and quotes within
+Layout has three bounds, which no text is lost by: lists, tables and quotes within
 ``LAYOUT_LEVELS`` others are laid out as plain blocks, and cells wider than
-``WIDEST_CELL`` don't widen their column. Time and text stay linear in the page.
+``WIDEST_CELL`` don't widen their column, and cells that reach down keep their place in
+the first ``MOST_COLUMNS`` columns. Time and text stay linear in the page.
 
 Defined results: null html gives null text, empty html empty text; a tag whose
 quotes don't end ends at the next ``>``; repeated rows give a row each.
@@ -33,6 +35,11 @@ WIDEST_CELL = 60
 _TAG_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
 _MARK = re.compile("[\"'>]")
 _MAY_HIDE = re.compile("hidden|style", re.I)
+#: Pages without this, or a reference that could spell it, hide nothing by visibility.
+_VISIBILITY = re.compile(r"visibility|style[^>]*&", re.I)
+#: Rows that a cell reaches down at most, and columns in which cells that reach down are minded.
+MOST_ROWS, MOST_COLUMNS = 65_534, 1_000
+_Cell = tuple[list[str], int, int]
 #: A name, and its value if there is one; a quote that stays open ends with the tag.
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>][^\s=/>]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|$)|'([^']*+)(?:'|$)|([^\s"'>][^\s>]*+)))?+""")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
@@ -192,18 +199,19 @@ def _attributes(node: Node) -> dict[str, str]:
     return out
 
 
-def _style_hides(style: str) -> bool:
-    """Whether ``display`` or ``visibility`` hides, by the last declaration of each or the last important one."""
+def _style(node: Node) -> dict[str, str]:
+    """Values of a node's own declarations, by the last one of each name or the last important one."""
     last: dict[str, tuple[bool, str]] = {}
-    for declaration in _COMMENT.sub("", style).split(";"):
+    for declaration in _COMMENT.sub("", unescape(_attributes(node).get("style", ""))).split(";"):
         name, _, value = declaration.partition(":")
         name, (value, mark, _) = name.strip().lower(), value.strip().lower().partition("!")
         if mark or not last.get(name, (False,))[0]:
             last[name] = (bool(mark), value.strip())
-    return last.get("display", ("", ""))[1] == "none" or last.get("visibility", ("", ""))[1] == "hidden"
+    return {name: value for name, (_, value) in last.items()}
 
 
 def _shown(node: Node) -> bool:
+    """Whether a node is laid out at all; ``visibility`` is ``_leave_visible``'s concern."""
     if node.tag in UNSEEN:
         return False
     if not node.attributes or node.tag != "input" and not _MAY_HIDE.search(node.attributes):
@@ -211,7 +219,31 @@ def _shown(node: Node) -> bool:
     found = _attributes(node)
     if "hidden" in found or node.tag == "input" and unescape(found.get("type", "")).lower() == "hidden":
         return False
-    return not _style_hides(unescape(found.get("style", "")))
+    return "style" not in found or _style(node).get("display") != "none"
+
+
+def _leave_visible(root: Node) -> Node:
+    """Takes out what ``visibility`` hides: it is inherited, and elements within can set it back.
+
+    Cells stay, without content; other elements of which nothing is visible go.
+    """
+    stack = [(root, True, iter(root.children), [])]
+    while stack:
+        node, visible, children, kept = stack[-1]
+        child = next(children, None)
+        if child is None:
+            node.children = kept
+            stack.pop()
+            if stack and (visible or kept or node.tag in ("td", "th")):
+                stack[-1][3].append(node)
+        elif isinstance(child, str):
+            if visible:
+                kept.append(child)
+        else:
+            own = _style(child).get("visibility") if child.attributes and _MAY_HIDE.search(child.attributes) else None
+            sees = True if own in ("visible", "initial") else False if own in ("hidden", "collapse") else visible
+            stack.append((child, sees, iter(child.children), []))
+    return root
 
 
 def _attribute(node: Node, name: str) -> str | None:
@@ -284,8 +316,14 @@ def _list(node: Node, level: int) -> list[str]:
     return out
 
 
-def _rows(node: Node, rows: list[list[tuple[list[str], int]]], before: list[str], level: int) -> None:
-    """Rows of cells; what stands in a table outside of them goes before it."""
+def _cell(node: Node, level: int) -> _Cell:
+    span = lambda name, most: max(1, min(_number(_attribute(node, name), 1), most)) if node.attributes else 1
+    down = MOST_ROWS if node.attributes and _attribute(node, "rowspan") == "0" else span("rowspan", MOST_ROWS)
+    return (_lines(node, level) if _shown(node) else [], span("colspan", 100), down)
+
+
+def _rows(node: Node, rows: list[tuple[Node, list[_Cell]]], before: list[str], level: int) -> None:
+    """Rows of cells, with the part of the table that they are in; what stands in a table outside of them goes before it."""
     for child in node.children:
         if isinstance(child, str):
             if child.strip():
@@ -296,33 +334,50 @@ def _rows(node: Node, rows: list[list[tuple[list[str], int]]], before: list[str]
                 for c in child.children:
                     (cells if isinstance(c, Node) and c.tag in ("td", "th") else rest.children).append(c)
                 before += [x for x in _lines(rest, level) if x]
-                rows.append([(_lines(c, level) if _shown(c) else [], max(1, min(_number(_attribute(c, "colspan"), 1) if c.attributes else 1, 100))) for c in cells])
+                rows.append((node, [_cell(c, level) for c in cells]))
             elif child.tag in ("thead", "tbody", "tfoot"):
                 _rows(child, rows, before, level)
             elif child.tag in ("td", "th"):
-                rows.append([(_lines(child, level), 1)])
+                rows.append((node, [(_lines(child, level), 1, 1)]))
             else:
                 before += _lines(child, level)
 
 
+def _placed(rows: list[tuple[Node, list[_Cell]]]) -> list[list[tuple[int, list[str], int]]]:
+    """The cells of each row with their columns: cells of rows above may reach down, within their part of the table."""
+    out, until, part = [], {}, None
+    for number, (own, cells) in enumerate(rows):
+        if own is not part:
+            until, part = {}, own
+        placed, column = [], 0
+        for lines, across, down in cells:
+            while until and column < MOST_COLUMNS and until.get(column, 0) > number:
+                column += 1
+            placed.append((column, lines, across))
+            if down > 1:
+                until |= {c: number + down for c in range(column, min(column + across, MOST_COLUMNS))}
+            column += across
+        out.append(placed)
+    return out
+
+
 def _table(node: Node, level: int) -> list[str]:
-    rows: list[list[tuple[list[str], int]]] = []
+    rows: list[tuple[Node, list[_Cell]]] = []
     out: list[str] = []
     _rows(node, rows, out, level)
-    widths: dict[int, int] = {}
-    for row in rows:
-        column = 0
-        for lines, span in row:
-            if span == 1:
+    placed, widths = _placed(rows), {}
+    for row in placed:
+        for column, lines, across in row:
+            if across == 1:
                 widths[column] = max(widths.get(column, 0), max((len(x) for x in lines if len(x) <= WIDEST_CELL), default=0))
-            column += span
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            column, parts = 0, []
-            for lines, span in row:
-                width = sum(widths.get(c, 0) for c in range(column, column + span)) + 3 * (span - 1)
+    for row in placed:
+        for k in range(max((len(lines) for _, lines, _ in row), default=0)):
+            at, parts = 0, []
+            for column, lines, across in row:
+                parts += [" " * min(widths.get(c, 0), WIDEST_CELL) for c in range(at, column)]
+                width = sum(widths.get(c, 0) for c in range(column, column + across)) + 3 * (across - 1)
                 parts.append((lines[k] if k < len(lines) else "").ljust(min(width, 4 * WIDEST_CELL)))
-                column += span
+                at = column + across
             out.append(" | ".join(parts).rstrip())
     return out
 
@@ -407,7 +462,10 @@ def _lines(node: Node, level: int = 0) -> list[str]:
 
 def render(html: str | None) -> str | None:
     """The visible text of a page."""
-    return None if html is None else "\n".join(_lines(parse(html)))
+    if html is None:
+        return None
+    tree = parse(html)
+    return "\n".join(_lines(_leave_visible(tree) if _VISIBILITY.search(html) else tree))
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
