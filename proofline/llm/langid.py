@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.llm.common import small_batches
-from proofline.llm.tokens import slices
+from proofline.llm.tokens import forget, slices
 
 TRAIN_ROWS = 2400
 FEATURES = 4096
@@ -167,6 +167,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # a worker that has encoded texts before needs their units no more, and this stage much memory
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in slices(texts, SLICE_CHARS, SLICE_ROWS):

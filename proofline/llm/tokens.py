@@ -131,6 +131,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Lets go of a worker's encoders and the units that they keep; the next text to encode brings them back."""
+    _ENCODERS.clear()
+
+
 def slices(texts: list, chars: int = 4_000_000, rows: int = 1_000_000):
     """Ranges of a list of texts of about so many characters, and at most so many texts, each."""
     start = size = 0
