@@ -95,7 +95,7 @@ def scanner_replies(spark, d):
 
 
 def _archive(k: int) -> tuple[str, bytes]:
-    """The k-th kind of file: (media type, body)."""
+    """The k-th kind of file: (media type, body). Members have a fixed date, so that each call gives the same bytes."""
     import io
     import warnings
     import zipfile
@@ -106,7 +106,7 @@ def _archive(k: int) -> tuple[str, bytes]:
             warnings.simplefilter("ignore")
             with zipfile.ZipFile(out, "w", method) as z:
                 for name, body in members:
-                    z.writestr(name, body)
+                    z.writestr(zipfile.ZipInfo(name), body, method)
         return out.getvalue()
 
     pdf = b"%PDF-1.7 body"
@@ -139,7 +139,7 @@ def archive_gate(spark, d):
 
 @query(f"WITH f AS (SELECT c_custkey::VARCHAR AS document_id, c_custkey AS k, c_custkey % {len(_EXPECTED)} AS kind FROM customer) SELECT document_id, CASE WHEN k % 10 = 9 THEN 'file_size_mismatch' WHEN kind = 1 THEN 'malware_fixture_missing' WHEN kind = 2 THEN 'malware_detected' WHEN kind = 4 THEN 'parser_fixture_missing' ELSE {_CODE} END AS code, CASE WHEN k % 10 <> 9 AND kind IN (0, 13) THEN 1 ELSE 0 END::BIGINT AS documents FROM f")
 def file_pipeline(spark, d):
-    files = _files(spark, d).withColumns({"sha256": F.sha2("body", 256), "size_bytes": F.octet_length("body") + (F.col("document_id").cast("int") % 10 == 9).cast("int"), "quarantine_status": F.lit("pending_malware_scan"), "parse_allowed": F.lit(False)})
+    files = _files(spark, d).withColumns({"sha256": F.sha2("body", 256), "size_bytes": F.octet_length("body") + (F.col("document_id").cast("long") % 10 == 9).cast("int"), "quarantine_status": F.lit("pending_malware_scan"), "parse_allowed": F.lit(False)})
     digests = [(k, F.sha2(F.lit(_archive(k)[1]), 256)) for k in range(len(_EXPECTED)) if k != 1] + [(4, F.sha2(F.lit(b"%PDF-1.7 body2"), 256))]
     known = spark.range(1).select(F.explode(F.array(*[F.struct(x.alias("sha256"), F.lit("Eicar" if k == 2 else None).cast("string").alias("threat")) for k, x in digests])).alias("x")).select("x.sha256", "x.threat")
     one = F.sha2(F.lit(b"%PDF-1.7 body"), 256)

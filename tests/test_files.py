@@ -78,3 +78,13 @@ def test_assertions(spark, text, want):
     from proofline.functions.text import assertion_key
 
     assert spark.createDataFrame([(text,)], "t string").select(assertion_key(F.col("t")).alias("k")).first()["k"] == want
+
+
+def test_made_archives_have_no_clock(monkeypatch):
+    import time
+
+    from proofline.plans import pages
+
+    first = [pages._archive(k) for k in range(len(pages._EXPECTED))]
+    monkeypatch.setattr(time, "localtime", lambda *_: time.struct_time((2031, 5, 6, 7, 8, 10, 1, 126, 0)))
+    assert [pages._archive(k) for k in range(len(pages._EXPECTED))] == first
