@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from decimal import Decimal
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -151,10 +152,37 @@ def limited(commands: DataFrame, key: str, limit: int = 10, seconds: int = 3600)
 
 
 class Queue:
-    """A queue's messages as commands change them; times are seconds."""
+    """A queue's messages as commands change them; times are seconds.
+
+    Messages wait in a heap by the time they are visible from, and those that a lease has found visible in one by id. Entries of a time that is
+    no longer a message's own are passed over, and go once they outnumber the messages; a clock that goes back sends messages back to wait.
+    """
 
     def __init__(self):
         self.next_id, self.messages = 1, {}
+        self.waiting: list[tuple[float, int]] | None = None  # None: to be built from the messages
+        self.ready: list[tuple[int, float]] = []
+
+    def _wait(self, visible: float, message_id: int) -> None:
+        if self.waiting is not None and visible == visible:
+            heappush(self.waiting, (visible, message_id))
+
+    def _taken(self, at: float) -> int | None:
+        """The least id that is visible, taken off its heap."""
+        if self.waiting is None or len(self.waiting) + len(self.ready) > 2 * len(self.messages) + 64:
+            self.waiting, self.ready = [(v, k) for k, (v, _) in self.messages.items() if v == v], []
+            heapify(self.waiting)
+        while self.waiting and self.waiting[0][0] <= at:
+            visible, k = heappop(self.waiting)
+            if k in self.messages and self.messages[k][0] == visible:
+                heappush(self.ready, (k, visible))
+        while self.ready:
+            k, visible = heappop(self.ready)
+            if k in self.messages and self.messages[k][0] == visible:
+                if visible <= at:
+                    return k
+                self._wait(visible, k)
+        return None
 
     def apply(self, op: str, at: float, message_id: int | None = None, seconds: float = 0) -> tuple[str, int | None, int | None]:
         """(outcome, message_id, read_count). Ops: send, lease, extend, archive, dead_letter."""
@@ -164,20 +192,23 @@ class Queue:
             new = self.next_id
             self.next_id += 1
             self.messages[new] = [at + seconds, 0]
+            self._wait(at + seconds, new)
             return "sent", new, 0
         if op in ("lease", "extend") and seconds <= 0:
             return "invalid_timeout", None, None
         if op == "lease":
-            found = min((k for k, (visible, _) in self.messages.items() if visible <= at), default=None)
+            found = self._taken(at)
             if found is None:
                 return "empty", None, None
             reads = self.messages[found][1] + 1
             self.messages[found] = [at + seconds, reads]
+            self._wait(at + seconds, found)
             return "leased", found, reads
         if message_id not in self.messages:
             return "not_found", message_id, None
         if op == "extend":
             self.messages[message_id][0] = at + seconds
+            self._wait(at + seconds, message_id)
             return "extended", message_id, self.messages[message_id][1]
         return {"archive": "archived", "dead_letter": "dead_lettered"}[op], message_id, self.messages.pop(message_id)[1]
 
