@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.functions.text import folded
 from proofline.operators.candidates import CIN_RULE
 
 MOST_RESULTS = 20
+#: About how many asks of one name are joined with the name's records at a time.
+ASKS = 1_000
 _ADDRESS = "struct<type:string,active:boolean,fullAddress:string,state:string>"
 _SEARCH = f"array<struct<indexId:string,businessName:string,type:string,status:string,active:boolean,incorporatedDate:string,addresses:array<{_ADDRESS}>>>"
 _MASTER = f"struct<valid:boolean,reg:string,businessName:string,previousName:string,type:string,status:string,active:boolean,listed:boolean,incorporatedDate:string,addresses:array<{_ADDRESS}>>"
@@ -84,11 +86,17 @@ def lookup_key(name: Column) -> Column:
 def search_register(asked: DataFrame, searches: DataFrame, records: DataFrame) -> DataFrame:
     """Records that a register of fixtures has for names (ask_id, name, most), in its order: ask_id, pos, record.
 
-    ``searches``: legal_name, cins (in order).
+    ``searches``: legal_name, cins (in order). The result has a row for each pair of an ask and a record of its name, so the asks of a
+    frequent name are dealt to blocks of about ``ASKS``, each with the name's records; records are found before pairs are made.
     """
-    held = searches.select(lookup_key(c("legal_name")).alias("_key"), F.posexplode("cins").alias("pos", "cin"))
-    hits = asked.withColumn("_key", lookup_key(c("name"))).join(held, "_key").filter(c("pos") < c("most"))
-    return hits.select("ask_id", "pos", "cin").join(records, "cin")
+    asks = asked.withColumn("_key", lookup_key(c("name"))).filter("_key is not null and most > 0")
+    frequent = asks.groupBy("_key").count().filter(c("count") > ASKS).select("_key", F.ceil(c("count") / ASKS).cast("int").alias("_blocks"))
+    blocks = F.coalesce("_blocks", F.lit(1))
+    dealt = asks.join(frequent, "_key", "left").withColumn("_block", F.pmod(F.xxhash64("ask_id"), blocks).cast("int"))
+    held = searches.select(lookup_key(c("legal_name")).alias("_key"), F.posexplode("cins").alias("pos", "cin")).join(records, "cin")
+    held = held.join(frequent, "_key", "left").withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
+    hits = dealt.join(held.hint("merge"), ["_key", "_block"]).filter(c("pos") < c("most"))
+    return hits.select("cin", "ask_id", "pos", *[n for n in records.columns if n != "cin"])
 
 
 def look_up(asked: DataFrame, records: DataFrame) -> DataFrame:

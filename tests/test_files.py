@@ -88,3 +88,22 @@ def test_made_archives_have_no_clock(monkeypatch):
     first = [pages._archive(k) for k in range(len(pages._EXPECTED))]
     monkeypatch.setattr(time, "localtime", lambda *_: time.struct_time((2031, 5, 6, 7, 8, 10, 1, 126, 0)))
     assert [pages._archive(k) for k in range(len(pages._EXPECTED))] == first
+
+
+def test_frequent_names_are_dealt_out(spark):
+    from proofline.sources.companies import ASKS, search_register
+
+    n = 3 * ASKS
+    asked = spark.range(n, numPartitions=2).select(F.col("id").alias("ask_id"), F.lit(" SAME name").alias("name"), (F.col("id") % 3).alias("most")).unionByName(spark.sql("select -1L ask_id, 'other' name, 1L most union all select -2L, null, 2L"))
+    searches = spark.sql("select 'Same Name' legal_name, array('a', 'b') cins union all select 'same  name', array('c', 'x') union all select 'Other', array('b', 'a') union all select null, array('a')")
+    records = spark.sql("select * from values ('a', 'A'), ('b', 'B'), ('b', 'B2'), ('c', 'C') t(cin, legal_name)")
+    found = search_register(asked, searches, records)
+    want = {(k, pos, cin, name) for k in range(n) for pos, cin, name in ((0, "a", "A"), (1, "b", "B"), (1, "b", "B2"), (0, "c", "C")) if pos < k % 3} | {(-1, 0, "b", "B"), (-1, 0, "b", "B2")}
+    rows = [tuple(r) for r in found.select("ask_id", "pos", "cin", "legal_name").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = search_register(asked, searches, records).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 0.9 * len(rows)
