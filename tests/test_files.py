@@ -93,7 +93,7 @@ def test_made_archives_have_no_clock(monkeypatch):
 def test_frequent_names_are_dealt_out(spark):
     from proofline.sources.companies import ASKS, search_register
 
-    n = 3 * ASKS
+    n = 8 * ASKS
     asked = spark.range(n, numPartitions=2).select(F.col("id").alias("ask_id"), F.lit(" SAME name").alias("name"), (F.col("id") % 3).alias("most")).unionByName(spark.sql("select -1L ask_id, 'other' name, 1L most union all select -2L, null, 2L"))
     searches = spark.sql("select 'Same Name' legal_name, array('a', 'b') cins union all select 'same  name', array('c', 'x') union all select 'Other', array('b', 'a') union all select null, array('a')")
     records = spark.sql("select * from values ('a', 'A'), ('b', 'B'), ('b', 'B2'), ('c', 'C') t(cin, legal_name)")
