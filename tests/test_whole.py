@@ -1,6 +1,9 @@
 """Queries and operators do the whole job: no prefix, cap or subset of the rows."""
 
+from pyspark.sql import functions as F
+
 from proofline.operators import matching as M
+from proofline.operators import scoring as S
 from proofline.plans import matching, queries
 
 
@@ -35,3 +38,17 @@ def test_no_row_is_left_out_by_id(spark, tmp_path):
     assert run(matching.QUERIES["open_order_duplicates"]) == [(2, 2), (4, 2)]
     assert run(queries.QUERIES["open_order_heads"]) == [("p", 3, 5)]
     assert run(queries.QUERIES["whole_upsert"]) == [("cin:3", "c3"), ("cin:4", "s4"), ("cin:9", "c9")]
+
+
+def test_candidate_scores_read_lineitems(spark):
+    sf = "/root/testdata/sf0.001"
+    scored = queries.QUERIES["candidate_scores"](spark, sf)
+    assert any("lineitem" in f for f in scored.inputFiles()) and scored.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def test_scores_of_all_facts(spark):
+    names = list(S.WEIGHTS)
+    facts = spark.range(1 << len(names)).select("id", *[(F.col("id").bitwiseAND(1 << k) != 0).alias(n) for k, n in enumerate(names)])
+    for r in S.score(facts).collect():
+        held = [S.WEIGHTS[n] for n in names if r[n]]
+        assert (r["positive_total"], r["negative_total"], r["score"]) == (sum(w for w in held if w > 0), sum(w for w in held if w < 0), min(100, max(0, sum(held))))
