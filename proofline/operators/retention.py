@@ -5,8 +5,8 @@
 null; ``links`` (parent_id, child_id): a child goes with its parent, to any depth. Nothing is deleted here: the result
 is a plan, a row for each asset that goes or would go.
 
-The cascade runs in rounds over the links of what was added last, against all assets that the plan lacks, and ends when nothing is
-added; cycles end too, as an asset is added once. A parent with a third of all links is joined like any other.
+The cascade runs in rounds over the links of what was added last, and ends when nothing is added; cycles end too, as an asset is added once.
+A round reads the links whose child isn't in the plan yet and has links itself; children without follow once, when the rounds are over. A parent with a third of all links is joined like any other.
 
 Defined results: a null creation has no age; a kind without a rule ages never; links to unknown assets and
 repeated links change nothing; assets that repeat an id are one, held if one of them is, with the least kind and reason; an empty table gives an empty plan.
@@ -14,6 +14,8 @@ repeated links change nothing; assets that repeat an id are one, held if one of
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +39,32 @@ def purge_plan(assets: DataFrame, links: DataFrame, holds: DataFrame, now: float
     own = assets.filter("asset_id is not null").join(holding, "owner_id", "left").withColumn("reason", reason)
     own = own.groupBy("asset_id").agg(F.min("kind").alias("kind"), F.coalesce(F.bool_or("_held"), F.lit(False)).alias("held"), F.min("reason").alias("reason"))
     own = steps.write(own, "assets")
-    plan = steps.write(own.filter("reason is not null").withColumn("depth", F.lit(0)), "plan-0")
-    last, number = plan, 0
+    plan = [own.filter("reason is not null").withColumn("depth", F.lit(0))]
+    spared = own.filter("reason is null").select(F.col("asset_id").alias("child_id"), "kind", "held")
+    known = own.filter("not held").select(F.col("asset_id").alias("parent_id"), F.col("reason").isNotNull().alias("_first"))
+    edges = steps.write(links.select("parent_id", "child_id").filter("parent_id <> child_id").join(known, "parent_id").join(spared, "child_id").distinct(), "links")
+    # only links between what has links of its own are walked in rounds; what ends there follows once
+    inner = edges.select(F.col("parent_id").alias("child_id")).distinct()
+    open_ = steps.write(edges.join(inner, "child_id", "left_semi"), "open-0")
+    number, reached = 0, []
+    last = edges.filter("_first").select("parent_id").distinct()
     while True:
         number += 1
-        below = links.join(last.filter("not held").select(F.col("asset_id").alias("parent_id")), "parent_id").select(F.col("child_id").alias("asset_id")).distinct()
-        fresh = own.join(below, "asset_id", "left_semi").join(plan.select("asset_id"), "asset_id", "left_anti")
-        last = steps.write(fresh.withColumns({"reason": F.lit("cascade"), "depth": F.lit(number)}), f"plan-{number}")
-        if last.isEmpty():
+        below = open_.join(last, "parent_id", "left_semi").groupBy("child_id").agg(F.first("kind").alias("kind"), F.first("held").alias("held"))
+        fresh = steps.write(below.select(F.col("child_id").alias("asset_id"), "kind", "held", F.lit("cascade").alias("reason"), F.lit(number).alias("depth")), f"plan-{number}")
+        if fresh.isEmpty():
             break
-        plan = steps.write(plan.unionByName(last), f"all-{number}")
+        reached.append(fresh)
+        last = fresh.filter("not held").select(F.col("asset_id").alias("parent_id"))
+        open_ = steps.write(open_.join(fresh.select(F.col("asset_id").alias("child_id")), "child_id", "left_anti"), f"open-{number}")
+        steps.drop(f"open-{number - 1}")
+    plan += reached
+    above = edges.filter("_first").select("parent_id", F.lit(0).alias("_depth")).distinct()
+    for part in reached:
+        above = above.unionByName(part.filter("not held").select(F.col("asset_id").alias("parent_id"), F.col("depth").alias("_depth")))
+    ends = edges.join(inner, "child_id", "left_anti").join(above, "parent_id").groupBy("child_id").agg(F.first("kind").alias("kind"), F.first("held").alias("held"), (F.min("_depth") + 1).alias("depth"))
+    plan.append(ends.select(F.col("child_id").alias("asset_id"), "kind", "held", F.lit("cascade").alias("reason"), "depth"))
+    plan = reduce(DataFrame.unionByName, plan)
     action = F.when(F.col("held"), "held").when(F.col("kind").isin(*TOMBSTONES), "tombstone").otherwise("purge")
     return plan.select("asset_id", "kind", action.alias("action"), "reason", "depth")
 

@@ -33,3 +33,23 @@ def test_plan_equals_a_plain_walk(spark):
     assert len(found) == len(want) and {r["asset_id"]: (r["action"], r["reason"], r["depth"]) for r in found} == want
     assert max(r["depth"] for r in found) >= 3
     assert R.purge_plan(frame([], shape), *args).collect() == []
+
+
+def test_rounds_write_only_what_is_open(spark, monkeypatch):
+    from proofline.operators import retention
+
+    written, write = {}, retention.Steps.write
+
+    def noted(self, df, name):
+        out = write(self, df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(retention.Steps, "write", noted)
+    n, leaves = 4, 100
+    assets = spark.range(n * (leaves + 1)).selectExpr("id asset_id", "'evidence' kind", "id owner_id", "1 created_at", "cast(null as int) expires_at", "id = 0 deleted")
+    links = spark.range(n - 1).selectExpr("id parent_id", "id + 1 child_id").unionByName(spark.range(n, n * (leaves + 1)).selectExpr(f"id % {n} parent_id", "id child_id"))
+    holds = spark.sql("select 1L owner_id, 0 since, 0 until where false")
+    plan = {r["asset_id"]: r["depth"] for r in retention.purge_plan(assets, links, holds, 10).collect()}
+    assert plan == {k: k if k < n else k % n + 1 for k in range(n * (leaves + 1))}
+    assert sum(rows for name, rows in written.items() if name not in ("assets", "links")) < leaves
