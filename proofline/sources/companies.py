@@ -9,8 +9,8 @@ from proofline.functions.text import folded
 from proofline.operators.candidates import CIN_RULE
 
 MOST_RESULTS = 20
-#: About how many asks of one name are joined with the name's records at a time.
-ASKS = 1_000
+#: About how many asks, and how many records, of one name are paired at a time.
+ASKS, RECORDS = 2_000, 4_000
 _ADDRESS = "struct<type:string,active:boolean,fullAddress:string,state:string>"
 _SEARCH = f"array<struct<indexId:string,businessName:string,type:string,status:string,active:boolean,incorporatedDate:string,addresses:array<{_ADDRESS}>>>"
 _MASTER = f"struct<valid:boolean,reg:string,businessName:string,previousName:string,type:string,status:string,active:boolean,listed:boolean,incorporatedDate:string,addresses:array<{_ADDRESS}>>"
@@ -86,16 +86,22 @@ def lookup_key(name: Column) -> Column:
 def search_register(asked: DataFrame, searches: DataFrame, records: DataFrame) -> DataFrame:
     """Records that a register of fixtures has for names (ask_id, name, most), in its order: ask_id, pos, record.
 
-    ``searches``: legal_name, cins (in order). The result has a row for each pair of an ask and a record of its name, so the asks of a
-    frequent name are dealt to blocks of about ``ASKS``, each with the name's records; records are found before pairs are made.
+    ``searches``: legal_name, cins (in order). The result has a row for each pair of an ask and a record of its name, so both of a
+    frequent name are dealt to blocks of about ``ASKS`` and ``RECORDS``, and a join of two blocks holds no more than its asks. They
+    follow each other in the result, record by record: files of it repeat a short run of asks, and stay small.
     """
     asks = asked.withColumn("_key", lookup_key(c("name"))).filter("_key is not null and most > 0")
-    frequent = asks.groupBy("_key").count().filter(c("count") > ASKS).select("_key", F.ceil(c("count") / ASKS).cast("int").alias("_blocks"))
-    blocks = F.coalesce("_blocks", F.lit(1))
-    dealt = asks.join(frequent, "_key", "left").withColumn("_block", F.pmod(F.xxhash64("ask_id"), blocks).cast("int"))
-    held = searches.select(lookup_key(c("legal_name")).alias("_key"), F.posexplode("cins").alias("pos", "cin")).join(records, "cin")
-    held = held.join(frequent, "_key", "left").withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
-    hits = dealt.join(held.hint("merge"), ["_key", "_block"]).filter(c("pos") < c("most"))
+    named = searches.withColumn("_key", lookup_key(c("legal_name"))).filter("_key is not null")
+    sizes = asks.groupBy("_key").agg(F.count("*").alias("_asks"), F.lit(0).cast("long").alias("_records")).unionByName(named.groupBy("_key").agg(F.lit(0).cast("long").alias("_asks"), F.sum(F.size("cins")).alias("_records")))
+    frequent = sizes.groupBy("_key").agg(F.ceil(F.sum("_asks") / ASKS).cast("int").alias("_blocks"), F.ceil(F.sum("_records") / RECORDS).cast("int").alias("_parts")).filter("_blocks > 1 and _parts > 0 or _parts > 1 and _blocks > 0")
+    blocks, parts, at = F.coalesce("_blocks", F.lit(1)), F.coalesce("_parts", F.lit(1)), ["_key", "_block", "_part"]
+    each = lambda number: F.explode(F.sequence(F.lit(0), number - 1))
+    dealt = asks.join(frequent, "_key", "left").withColumn("_block", F.pmod(F.xxhash64("ask_id"), blocks).cast("int")).withColumn("_part", each(parts)).select("ask_id", "most", *at)
+    held = named.select("_key", F.posexplode("cins").alias("pos", "cin")).join(records, "cin")
+    held = held.join(frequent, "_key", "left").withColumn("_part", F.pmod(F.xxhash64("cin", "pos"), parts).cast("int")).withColumn("_block", each(blocks)).drop("_blocks", "_parts")
+    # a number of partitions of its own, as few bytes make many rows
+    most = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hits = held.repartition(most, *at).hint("merge").join(dealt.repartition(most, *at), at).filter(c("pos") < c("most"))
     return hits.select("cin", "ask_id", "pos", *[n for n in records.columns if n != "cin"])
 
 

@@ -107,3 +107,19 @@ def test_frequent_names_are_dealt_out(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(sizes) > 1 and max(r["count"] for r in sizes) < 0.9 * len(rows)
+
+
+def test_many_records_of_a_name_are_dealt_out(spark):
+    from proofline.sources.companies import search_register
+
+    n, each = 20_000, 12
+    asked = spark.range(each).selectExpr("id ask_id", "if(id < 0, 'other', 'Same name') name", f"{n} - id most")
+    numbers = spark.range(n).selectExpr("'c' || id cin", "id")
+    searches = numbers.groupBy().agg(F.array_sort(F.collect_list(F.struct("id", "cin"))).alias("v")).selectExpr("if(size(v) > 0, 'same NAME', '') legal_name", "v.cin cins")
+    found = search_register(asked, searches, numbers.selectExpr("cin", "'N' || id legal_name")).withColumn("task", F.spark_partition_id()).toPandas()
+    assert len(found) == sum(n - k for k in range(each)) and len(found.drop_duplicates(["ask_id", "pos"])) == len(found)
+    assert (found["cin"] == "c" + found["pos"].astype(str)).all() and (found["legal_name"] == "N" + found["pos"].astype(str)).all()
+    sizes = found.groupby("task").size()
+    assert len(sizes) > 1 and sizes.max() < 0.9 * len(found)
+    # the asks of a record stand together
+    assert (found["cin"] != found["cin"].shift()).sum() == n
